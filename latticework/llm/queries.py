@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (token_files.op2_token_files, packing.op7_best_fit_packing)}
+    return {f.__name__: f for f in (quality.op1_quality_rules, token_files.op2_token_files, packing.op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
