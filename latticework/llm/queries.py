@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, token_files
+from . import packing, quality, repeats, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (quality.op1_quality_rules, token_files.op2_token_files, packing.op7_best_fit_packing, simhash.op8_simhash_near_duplicates)}
+    return {f.__name__: f for f in (quality.op1_quality_rules, token_files.op2_token_files, repeats.op4_block_anchor_repeats, packing.op7_best_fit_packing, simhash.op8_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
