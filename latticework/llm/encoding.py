@@ -10,57 +10,57 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters of the Latin blocks up to U+024F. A run of them ends a chunk before the marks below, where any pre-token ends.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+CHUNK = re.compile(f" ?[{LATIN}]+(?=[.,;:!?{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 END = np.zeros(1, dtype="<u4")
 
 
 class Encoder:
-    """ids(text) for one tokenizer file; holds at most `remembered` chunks."""
+    """ids(texts) for one tokenizer file; remembers up to twice `remembered` chunks, those in use longest."""
 
-    def __init__(self, path: str, remembered: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunkable = '"ByteLevel"' in self.tokenizer.to_str()[:20_000] and self.tokenizer.normalizer is None
-        self.memory: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remembered, self.longest = remembered, longest
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        out: list[np.ndarray] = []
-        for text in texts:
-            text = text or ""
-            if not self.chunkable or any(s in text for s in self.special):
-                out.append(np.frombuffer(self._direct([text])[0], dtype="<u4"))
-                continue
-            chunks = CHUNK.findall(text)
-            try:
-                found = [self.memory[c] for c in chunks]
-            except KeyError:
-                found = self._learn(chunks)
-            out.append(np.frombuffer(b"".join(found), dtype="<u4"))
-        return out
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        if len(self.memory) > self.remembered:
-            self.memory.clear()
-        new = list({c for c in chunks if c not in self.memory})
-        got = dict(zip(new, self._direct(new), strict=True))
-        kept = self.memory
-        for c, b in got.items():
-            if len(c) <= self.longest:
-                kept[c] = b
-        return [kept[c] if c in kept else got[c] for c in chunks]
+        texts = [t or "" for t in texts]
+        whole = {k for k, t in enumerate(texts) if not self.chunkable or any(s in t for s in self.special)}
+        chunks = [[] if k in whole else CHUNK.findall(t) for k, t in enumerate(texts)]
+        if len(self.young) > self.remembered:
+            self.young, self.old = {}, self.young
+        known, old = self.young, self.old
+        found = [list(map(known.get, own)) for own in chunks]
+        gaps = [[i for i, b in enumerate(got) if b is None] for got in found]
+        new = {own[i] for own, places in zip(chunks, gaps, strict=True) for i in places}
+        again = new & old.keys()
+        known.update((c, old[c]) for c in again)
+        new = list(new - again)
+        known.update(zip(new, self._direct(new), strict=True))
+        for own, got, places in zip(chunks, found, gaps, strict=True):
+            for i in places:
+                got[i] = known[own[i]]
+        for c in new:
+            if len(c) > self.longest:
+                del known[c]
+        return [np.frombuffer(self._direct([texts[k]])[0] if k in whole else b"".join(got), dtype="<u4") for k, got in enumerate(found)]
 
 
 _encoders: dict[str, Encoder] = {}
