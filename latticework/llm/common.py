@@ -24,9 +24,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def content_key(doc_id: Column, text: Column) -> Column:
-    """A key that rows share only if id and text are equal: it survives null and repeated ids, and is the same in every attempt of a task."""
-    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+#: Key columns of a row: equal only for rows of equal id and text, null ids included, and the same in every attempt of a task.
+KEY = ["_id", "_h1", "_h2"]
+#: Stands for a null id, and so comes after all others.
+LAST = 2**63 - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with KEY; needs doc_id and text."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_h1": F.xxhash64("text"), "_h2": F.hash("text", F.lit(1))})
+
+
+def small(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of keys, with a broadcast hint if it has few enough rows; beyond that rows meet by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
 
 
 def scratch(spark: SparkSession) -> str:
