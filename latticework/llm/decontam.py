@@ -71,13 +71,17 @@ def _block(fp: Column, k: int) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _shingles(F.col("text")).alias("ws"))
-    return rows.withColumn("item_hashes", _hashes(F.col("ws"))).drop("ws").where(F.size("item_hashes") > 0).dropDuplicates()
+    return rows.withColumn("item_hashes", _hashes(F.col("ws"))).drop("ws").dropDuplicates().where(F.size("item_hashes") > 0)
 
 
 def _index(items: DataFrame) -> DataFrame:
     """Each item's fingerprint, by block and block value with up to RADIUS // BLOCKS bits flipped."""
     flips = F.filter(F.sequence(F.lit(0), F.lit((1 << _BITS) - 1)), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
-    keys = F.flatten(F.array(*(F.transform(flips, lambda m, k=k: F.struct(F.lit(k).alias("b"), _block(F.col("item_fp"), k).bitwiseXOR(m.cast("long")).alias("v"))) for k in range(BLOCKS))))
+
+    def flipped(k: int) -> Column:
+        return F.transform(flips, lambda m: F.struct(F.lit(k).alias("b"), _block(F.col("item_fp"), k).bitwiseXOR(m.cast("long")).alias("v")))
+
+    keys = F.flatten(F.array(*map(flipped, range(BLOCKS))))
     return items.withColumn("item_fp", _simhash(F.col("item_hashes"))).select("item_id", "item_fp", "item_hashes", F.inline(keys))
 
 
@@ -85,7 +89,8 @@ def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     """KEY, doc_id and the hashes of each window that aligns a shingle with an item."""
     posted = items.select(F.size("item_hashes").alias("m"), "item_hashes", F.posexplode("item_hashes").alias("p", "h"))
     posted = posted.select("m", "p", "h", F.when(F.col("p") > 0, F.get("item_hashes", F.col("p") - 1)).alias("before")).distinct()
-    hits = rows.withColumn("hs", _hashes(_shingles(F.col("text")))).select("doc_id", *KEY, "hs", F.posexplode("hs").alias("place", "h"))
+    hits = rows.withColumn("ws", _shingles(F.col("text"))).withColumn("hs", _hashes(F.col("ws")))
+    hits = hits.select("doc_id", *KEY, "hs", F.posexplode_outer("hs").alias("place", "h"))  # outer: else a filter on the array's size computes it twice
     hits = hits.join(F.broadcast(posted), "h")
     hits = hits.where((F.col("p") == 0) | (F.col("place") == 0) | (F.get("hs", F.col("place") - 1) != F.col("before")))
     start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("p"), F.size("hs") - F.col("m")))

@@ -26,7 +26,7 @@ _LINE = ["l1", "l2"]
 
 def _lines(rows: DataFrame) -> DataFrame:
     """A row for each judged line: the key, its place, its hash (96 bits) and its site."""
-    line = rows.select(*KEY, "_site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "raw"))
+    line = rows.select(*KEY, "_site", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "raw"))
     line = line.withColumn("raw", F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")).where(F.col("raw").rlike(_ENOUGH))
     return line.select(*KEY, "place", F.xxhash64("raw").alias("l1"), F.hash("raw").alias("l2"), "_site")
 

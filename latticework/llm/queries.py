@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, repeats, simhash, token_files
+from . import decontam, lines, packing, quality, repeats, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ALL: tuple[Query, ...] = (
+    quality.op1_quality_rules,
+    token_files.op2_token_files,
+    repeats.op4_block_anchor_repeats,
+    packing.op7_best_fit_packing,
+    simhash.op8_simhash_near_duplicates,
+    lines.op9_line_spread,
+    decontam.op10_benchmark_windows,
+)
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (quality.op1_quality_rules, token_files.op2_token_files, repeats.op4_block_anchor_repeats, packing.op7_best_fit_packing, simhash.op8_simhash_near_duplicates)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_spread": lines.OP9_SQL}
