@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, packing, quality, repeats, simhash, token_files
+from . import decontam, licenses, lines, packing, quality, repeats, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ _ALL: tuple[Query, ...] = (
     quality.op1_quality_rules,
     token_files.op2_token_files,
     repeats.op4_block_anchor_repeats,
+    licenses.op5_license_templates,
     packing.op7_best_fit_packing,
     simhash.op8_simhash_near_duplicates,
     lines.op9_line_spread,
@@ -26,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_spread": lines.OP9_SQL}
+    return {"op5_license_templates": licenses.OP5_SQL, "op9_line_spread": lines.OP9_SQL}
