@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lines, packing, quality, repeats, simhash, token_files
+from . import decontam, licenses, lines, packing, pii, quality, repeats, rollups, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ALL: tuple[Query, ...] = (
     quality.op1_quality_rules,
     token_files.op2_token_files,
+    rollups.op3_token_rollups,
     repeats.op4_block_anchor_repeats,
     licenses.op5_license_templates,
+    pii.op6_disclosure,
     packing.op7_best_fit_packing,
     simhash.op8_simhash_near_duplicates,
     lines.op9_line_spread,
