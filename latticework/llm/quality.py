@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, documents, scratch, words, written
+from .common import SPACE, documents, scratch, words, written
 
 MAX_LANGUAGES, COMMON = 256, 24
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.30
@@ -39,28 +39,31 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
 
-def _class_counts(text: Column) -> list[Column]:
-    spaces = F.char_length(text) - F.char_length(F.translate(text, SPACE_CHARS, ""))
-    return [F.regexp_count(text, F.lit(p)).cast("long") if p else spaces.cast("long") for p in CLASSES.values()]
+def _with_classes(df: DataFrame, text: str) -> DataFrame:
+    """Adds _c, the counts of CLASSES: what is left without lower-case letters, then without white space, is short and quickly searched."""
+    df = df.withColumn("_r", F.regexp_replace(text, "[a-z]+", "")).withColumn("_r2", F.regexp_replace("_r", f"[{SPACE}]+", ""))
+    spaces = F.char_length("_r") - F.char_length("_r2")
+    return df.withColumn("_c", F.array(*((F.regexp_count("_r2", F.lit(p)) if p else spaces).cast("long") for p in CLASSES.values()))).drop("_r")
 
 
 def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(docs: DataFrame, folder: str) -> DataFrame:
     """One row a language, and one for all documents: lang, ref_words, ref_word_shares, ref_char_shares."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     names = [*CLASSES, "rest"]
-    counted = rows.select("lang", F.char_length("text").cast("long").alias("rest"), *(c.alias(n) for n, c in zip(CLASSES, _class_counts(F.col("text")), strict=True)))
-    counted = counted.groupBy("lang").agg(F.count("*").alias("n_docs"), *(F.sum(n).alias(n) for n in names))
+    counted = _with_classes(rows, "text").select("lang", F.char_length("text").cast("long").alias("rest"), *(F.col("_c")[k].alias(n) for k, n in enumerate(CLASSES)))
+    counted = written(counted.groupBy("lang").agg(F.count("*").alias("n_docs"), *(F.sum(n).alias(n) for n in names)), folder, "characters")
     known = counted.where(F.col("lang") != ALL).orderBy(F.desc("n_docs"), "lang").limit(MAX_LANGUAGES)
     total = counted.agg(F.lit(ALL).alias("lang"), *(F.sum(n).alias(n) for n in ["n_docs", *names]))
     chars = known.unionByName(total)
     shares = F.array(*(F.col(n) / F.col("all") for n in CLASSES), (F.col("all") - reduce(Column.__add__, map(F.col, CLASSES))) / F.col("all"))
     chars = chars.withColumn("all", F.greatest(F.col("rest"), F.lit(1))).select("lang", shares.alias("ref_char_shares"))
 
-    spelled = rows.select("lang", F.explode(_tokens(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    # outer: else a filter on the array's size would split the text twice
+    spelled = rows.select("lang", F.explode_outer(_tokens(F.col("text"))).alias("w")).where("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("n"))
     both = spelled.where(F.col("lang") != ALL).unionByName(spelled.groupBy("w").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
     ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= COMMON)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
@@ -93,26 +96,32 @@ def repeated_words(ordered: Column) -> Column:
 def judge(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds column _q: struct of n_words, the base counts, both distances (null where not judged), base_failed and kept."""
     text, ws = F.col("_t"), F.col("_w")
-    spaced = F.char_length(F.translate(text, SPACE_CHARS, ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.char_length(F.translate(x, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     n = F.size(ws)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    told = refs.select("lang", "ref_words").collect()  # MAX_LANGUAGES + 1 rows of COMMON words at most
+    common = sorted({w for r in told for w in r[1] or []})
     df = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    df = df.withColumns({"_w": words(text), "_k": _tokens(text), "_l": lines, "_c": F.array(*(c.cast("double") for c in _class_counts(text))), "_n": F.char_length(text)})
-    df = df.withColumns({"_h": hashes}).withColumns({"_s": repeats_in_order(F.col("_h"))})
-    known = [r[0] for r in refs.select("lang").collect() if r[0] != ALL]  # MAX_LANGUAGES at most
+    df = _with_classes(df, "_t").withColumns({"_w": words(text), "_k": _tokens(text), "_l": lines, "_n": F.char_length(text)})
+    df = df.withColumns({"_common": F.filter("_k", lambda w: w.isin(common)) if common else F.array().cast("array<string>"), "_h1": F.transform(ws, lambda w: F.xxhash64(w))})
+    # hashes of 2, 4 and 8 words, each of two halves; a text of fewer words has none
+    for k, (short, long) in zip((1, 2, 4), (("_h1", "_h2"), ("_h2", "_h4"), ("_h4", "_h8")), strict=True):
+        m = F.size(short) - k
+        joined = F.zip_with(F.slice(short, 1, m), F.slice(short, 1 + k, m), lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn(long, F.when(m > 0, joined).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumns({"_s": repeats_in_order(F.col("_h8"))})
+    known = [r[0] for r in told if r[0] != ALL]
     lang = F.col("lang").cast("string")
     df = df.withColumn("_lang", F.when(lang.isin(known), lang).otherwise(F.lit(ALL)) if known else F.lit(ALL))
     df = df.join(F.broadcast(refs.withColumnRenamed("lang", "_lang")), "_lang", "left")
     size = F.size("_k")
-    own = F.transform("ref_words", lambda w: (size - F.size(F.array_remove(F.col("_k"), w))).cast("double"))
+    own = F.transform("ref_words", lambda w: (F.size("_common") - F.size(F.array_remove("_common", w))).cast("double"))
     df = df.withColumns({"_own": F.when(size >= MIN_TOKENS, own), "_base": F.struct(
-        n.cast("long").alias("n_words"), spaced.cast("long").alias("word_chars"), (F.col("_n") - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        n.cast("long").alias("n_words"), F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"), F.regexp_count("_r2", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("_s")).alias("n_repeat_words"),
     )})
     in_common = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x)
     word_distance = F.when(F.col("_own").isNotNull() & F.col("ref_word_shares").isNotNull(), _distance(F.transform(F.concat("_own", F.array(size - in_common)), lambda x: x / size), F.col("ref_word_shares")))
-    letters = F.col("_n") - F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
+    letters = F.col("_n") - F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x)
     char_distance = F.when(F.col("_n") >= MIN_CHARS, _distance(F.transform(F.concat("_c", F.array(letters)), lambda x: x / F.col("_n")), F.col("ref_char_shares")))
     df = df.withColumns({"_wd": word_distance, "_cd": char_distance})
     failed = (F.col("_base.n_words") < 20) | (100 * F.col("_base.n_repeat_words") > 30 * F.col("_base.n_words"))
@@ -124,7 +133,8 @@ def judge(docs: DataFrame, refs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    refs = written(references(rows), scratch(docs.sparkSession), "references")
+    folder = scratch(docs.sparkSession)
+    refs = written(references(rows, folder), folder, "references")
     return judge(rows, refs).select("doc_id", "_q.*")
 
 
