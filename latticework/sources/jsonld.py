@@ -34,12 +34,12 @@ def nodes_of(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]
     known = next((r[0] for r in doc.select("`@context`").take(1)), None) or {}
     node = doc.select(F.explode("`@graph`").alias("n"))
 
-    def text(key: str) -> F.Column:
+    def text(key: str):
         return F.get_json_object("n", f"$['{key}']")
 
     def ids(key: str):
         raw = text(key)
-        many = F.from_json(F.when(F.startswith(raw, F.lit("[")), raw).otherwise(F.concat(F.lit("["), F.when(F.startswith(raw, F.lit("{")), raw).otherwise(F.to_json(F.struct(raw.alias("@id")))), F.lit("]"))), "array<string>")
+        many = F.from_json(F.when(raw.isNull(), F.lit(None)).when(F.startswith(raw, F.lit("[")), raw).otherwise(F.concat(F.lit("["), F.when(F.startswith(raw, F.lit("{")), raw).otherwise(F.to_json(F.struct(raw.alias("@id")))), F.lit("]"))), "array<string>")
         return F.transform(many, lambda x: F.coalesce(F.get_json_object(x, "$['@id']"), x))
 
     back = {v: k for k, v in known.items()}

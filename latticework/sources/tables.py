@@ -51,7 +51,7 @@ def write_manifest(spark: SparkSession, path: str, manifest: dict[str, Any]) ->
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1), text. Files are read whole, as only then a line's number is sure."""
-    whole = spark.read.option("wholetext", True).text(require(spark, path)).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(require(spark, path), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return numbered(whole, "file", "value")
 
 
