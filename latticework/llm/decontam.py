@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of letters and digits; shingles are five words. A document's window for an item is as many
 shingles as the item has. Only windows that align a shared shingle with the item are worth a fingerprint, as others
-have no shingle in common there: a broadcast of the items' shingles finds them in one scan, and the first shingle of
-each aligned run gives the window's place.
+have no shingle in common there: a broadcast of the items' shingles finds the texts that have any in one scan, and the
+first shingle of each aligned run gives a window's place.
 
 Each window is fingerprinted, and a multi-index finds the items within RADIUS bits: over BLOCKS blocks, RADIUS differing
 bits leave some block with at most RADIUS // BLOCKS differing, so the index holds each item's blocks with up to that
@@ -12,7 +12,7 @@ similarity (a shingle weighs its number of occurrences). At similarity 0.8 finge
 (deviation 3), so a radius of 15 loses few windows at the threshold and practically none above 0.85.
 
 The benchmark is a stated query set: its items are taken in blocks of at most BLOCK_SHINGLES shingles, so each
-broadcast is bounded whatever the benchmark's size. No document leaves its task but for its matches.
+broadcast is bounded whatever the benchmark's size. No text moves but those that share a shingle with an item.
 
 Defined cases: null and blank texts and items of fewer than five words match nothing; a null doc_id or item_id is kept
 as null; repeated rows give the same match once; an empty table, either one, gives no rows; other columns are ignored.
@@ -37,9 +37,15 @@ def _shingles(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hashes(ws: Column) -> Column:
-    n = F.size(ws) - (SHINGLE - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(ws, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
+def _hashed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the hashes of a text's shingles. A hash of five words is made of those of four and one, and so on down: columns of
+    their own, so that none is computed twice."""
+    df = df.withColumn("_ws", _shingles(F.col(text))).withColumn("_g1", F.transform("_ws", lambda w: F.xxhash64(w)))
+    for step, (first, second, made) in ((1, ("_g1", "_g1", "_g2")), (2, ("_g2", "_g2", "_g4")), (4, ("_g4", "_g1", out))):
+        n = F.size(second) - step
+        joined = F.zip_with(F.slice(first, 1, n), F.slice(second, 1 + step, n), lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn(made, F.when(n > 0, joined).otherwise(F.array().cast("array<bigint>")))
+    return df.drop("_ws", "_g1", "_g2", "_g4")
 
 
 def _simhash(hashes: Column) -> Column:
@@ -70,8 +76,8 @@ def _block(fp: Column, k: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _shingles(F.col("text")).alias("ws"))
-    return rows.withColumn("item_hashes", _hashes(F.col("ws"))).drop("ws").dropDuplicates().where(F.size("item_hashes") > 0)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return _hashed(rows, "text", "item_hashes").drop("text").dropDuplicates().where(F.size("item_hashes") > 0)
 
 
 def _index(items: DataFrame) -> DataFrame:
@@ -85,20 +91,28 @@ def _index(items: DataFrame) -> DataFrame:
     return items.withColumn("item_fp", _simhash(F.col("item_hashes"))).select("item_id", "item_fp", "item_hashes", F.inline(keys))
 
 
-def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """KEY, doc_id and the hashes of each window that aligns a shingle with an item."""
-    posted = items.select(F.size("item_hashes").alias("m"), "item_hashes", F.posexplode("item_hashes").alias("p", "h"))
-    posted = posted.select("m", "p", "h", F.when(F.col("p") > 0, F.get("item_hashes", F.col("p") - 1)).alias("before")).distinct()
-    hits = rows.withColumn("ws", _shingles(F.col("text"))).withColumn("hs", _hashes(F.col("ws")))
-    hits = hits.select("doc_id", *KEY, "hs", F.posexplode_outer("hs").alias("place", "h"))  # outer: else a filter on the array's size computes it twice
-    hits = hits.join(F.broadcast(posted), "h")
-    hits = hits.where((F.col("p") == 0) | (F.col("place") == 0) | (F.get("hs", F.col("place") - 1) != F.col("before")))
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("p"), F.size("hs") - F.col("m")))
-    return hits.select("doc_id", *KEY, F.slice("hs", start + 1, F.col("m")).alias("own"))
-
+def _windows(rows: DataFrame, items: DataFrame, folder: str) -> DataFrame:
+    """KEY, doc_id and the hashes of each window that aligns a shingle with an item.
 
-def _matches(rows: DataFrame, items: DataFrame) -> DataFrame:
-    seen = _windows(rows, items).withColumn("fp", _simhash(F.col("own")))
+    Exploded rows hold a hash and the one before it, never the text's whole array, which would be copied for each. Texts
+    with a hit are few and are hashed a second time for their windows."""
+    posted = items.select(F.size("item_hashes").alias("m"), "item_hashes", F.posexplode("item_hashes").alias("p", "h"))
+    posted = posted.select("m", "p", "h", F.when(F.col("p") > 0, F.get("item_hashes", F.col("p") - 1)).alias("item_before")).distinct()
+    hashed = _hashed(rows, "text", "hs")
+    pairs = F.arrays_zip(F.col("hs").alias("h"), F.slice(F.concat(F.array(F.lit(None).cast("long")), "hs"), 1, F.size("hs")).alias("before"))
+    # outer: else a filter on the array's size would hash the text twice
+    hits = hashed.select(*KEY, F.posexplode_outer(pairs).alias("place", "x")).select(*KEY, "place", "x.h", "x.before").join(F.broadcast(posted), "h")
+    hits = hits.where((F.col("p") == 0) | F.col("before").isNull() | (F.col("before") != F.col("item_before")))
+    found = hits.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("place") - F.col("p")).alias("at"), "m")).alias("starts"))
+    found = written(found, folder, "starts")
+    texts = rows.join(small(found.select(*KEY)), KEY, "left_semi").join(found, KEY)
+    texts = _hashed(texts, "text", "hs")
+    own = F.transform("starts", lambda x: F.slice("hs", F.greatest(F.lit(0), F.least(x["at"], F.size("hs") - x["m"])) + 1, x["m"]))
+    return texts.select("doc_id", *KEY, F.explode(F.array_distinct(own)).alias("own"))
+
+
+def _matches(rows: DataFrame, items: DataFrame, folder: str) -> DataFrame:
+    seen = _windows(rows, items, folder).withColumn("fp", _simhash(F.col("own")))
     probes = seen.select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("b"), _block(F.col("fp"), k).alias("v")) for k in range(BLOCKS)))))
     near = probes.join(F.broadcast(_index(items)), ["b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # a pair that several blocks offer is verified for the first of them
@@ -115,7 +129,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = -(-size // BLOCK_SHINGLES) or 1
     items = written(items.withColumn("part", F.pmod(F.xxhash64("item_hashes"), F.lit(blocks))), folder, "items")
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = [_matches(rows, items.where(F.col("part") == k).drop("part")) for k in range(blocks)]
+    found = [_matches(rows, items.where(F.col("part") == k).drop("part"), f"{folder}/{k}") for k in range(blocks)]
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", *KEY, "item_id").agg(F.max("similarity").alias("similarity"))
 
 
