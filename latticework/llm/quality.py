@@ -139,4 +139,40 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    return quality(documents(spark, sf_dir)).drop("char_distance", "word_distance")
+
+
+def _sql_distance(p: str, q: str) -> str:
+    def term(x: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p}[i] + {q}[i]) / 2)) ELSE 0 END"
+
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: ({term(f'{p}[i]')} + {term(f'{q}[i]')}) / 2))))"
+
+
+def _sql_count(pattern: str, text: str = "t") -> str:
+    return "length({0}) - length(regexp_replace({0}, '{1}', '', 'g'))".format(text, pattern.replace("'", "''"))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws,
+  list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ks, text IS NOT NULL AS there FROM documents),
+c AS (SELECT *, [{", ".join(_sql_count(p or "[ \\t-\\r]") for p in CLASSES.values())}] AS cs, length(t) AS n FROM d),
+keys AS (SELECT lang FROM c WHERE lang IS NOT NULL AND lang <> '' AND there GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT {MAX_LANGUAGES}),
+k AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM keys) THEN lang ELSE '' END AS key FROM c),
+sums AS (SELECT g, {", ".join(f"sum(cs[{i + 1}]) AS c{i}" for i in range(len(CLASSES)))}, greatest(sum(n), 1) AS total FROM (SELECT unnest([lang, '']) AS g, cs, n FROM c WHERE there) WHERE g IN (SELECT lang FROM keys) OR g = '' GROUP BY g),
+refc AS (SELECT g, [{", ".join(f"c{i} / total" for i in range(len(CLASSES)))}, (total - {" - ".join(f"c{i}" for i in range(len(CLASSES)))}) / total] AS q FROM sums),
+spoken AS (SELECT g, w, count(*) AS m FROM (SELECT unnest([lang, '']) AS g, ks FROM c WHERE there) x, unnest(x.ks) AS u(w) WHERE g IN (SELECT lang FROM keys) OR g = '' GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY m DESC, w) AS r, sum(m) OVER (PARTITION BY g) AS total FROM spoken),
+refw AS (SELECT g, list(w ORDER BY r) AS words, list_append(list(m / total ORDER BY r), (any_value(total) - sum(m)) / any_value(total)) AS q FROM ranked WHERE r <= {COMMON} GROUP BY g),
+own AS (SELECT k.*, refc.q AS cq, refw.q AS wq, list_transform(refw.words, lambda w: len(list_filter(ks, lambda x: x = w))) AS found FROM k LEFT JOIN refc ON refc.g = key LEFT JOIN refw ON refw.g = key),
+p AS (SELECT *, list_transform(list_append(cs, n - list_sum(cs)), lambda x: x / n) AS cp, list_transform(list_append(found, len(ks) - list_sum(found)), lambda x: x / len(ks)) AS wp FROM own),
+far AS (SELECT *, CASE WHEN n >= {MIN_CHARS} THEN {_sql_distance("cp", "cq")} END AS cd, CASE WHEN len(ks) >= {MIN_TOKENS} AND wq IS NOT NULL THEN {_sql_distance("wp", "wq")} END AS wd FROM p),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS p FROM d WHERE len(ws) >= {WINDOW}),
+twice AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[p:p + {WINDOW - 1}], ' ')) AS n FROM s),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(p, p + {WINDOW})) AS k FROM twice WHERE n > 1) GROUP BY 1),
+base AS (SELECT far.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars, {_sql_count("[#*$%&|<>]")} AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')))) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, cd, wd FROM far LEFT JOIN rep ON rep.doc_id = far.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(wd <= {MAX_WORD_DISTANCE}, true) AND coalesce(cd <= {MAX_CHAR_DISTANCE}, true) AS kept FROM base
+"""

@@ -29,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_templates": licenses.OP5_SQL, "op9_line_spread": lines.OP9_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op4_block_anchor_repeats": repeats.OP4_SQL, "op5_license_templates": licenses.OP5_SQL, "op9_line_spread": lines.OP9_SQL}

@@ -362,3 +362,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op4_block_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))
+
+
+OP4_SQL = f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS p FROM w WHERE len(ws) >= {WINDOW}),
+g AS (SELECT doc_id, p, array_to_string(ws[p:p + {WINDOW - 1}], ' ') AS words FROM s),
+f AS (SELECT words, min(doc_id) AS first FROM g GROUP BY words),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS k FROM g JOIN f USING (words) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.k) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.k = x.k WHERE c.k IS NULL GROUP BY 1) y ON y.doc_id = w.doc_id
+"""
