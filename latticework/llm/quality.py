@@ -64,6 +64,7 @@ def references(docs: DataFrame, folder: str) -> DataFrame:
 
     # outer: else a filter on the array's size would split the text twice
     spelled = rows.select("lang", F.explode_outer(_tokens(F.col("text"))).alias("w")).where("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    spelled = written(spelled, folder, "words")
     both = spelled.where(F.col("lang") != ALL).unionByName(spelled.groupBy("w").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
     ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= COMMON)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
