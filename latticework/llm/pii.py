@@ -7,8 +7,8 @@ mutual information log(p(c, t) / (p(c) p(t))) is what t tells of c; over c's own
 part of c that t discloses. From GENERALISE up the term is to be generalised, from REMOVE up removed, if MIN_SUPPORT
 documents bear it out.
 
-Contexts are short, so only they are exploded; terms' document counts are taken for the terms of supported pairs
-alone. Joins on entities and terms are equi-joins after partial aggregation. All steps are DataFrame functions.
+Contexts are short, so only they are exploded; words' document counts then meet the terms of supported pairs
+alone. Joins on entities and terms are equi-joins after aggregation. All steps are DataFrame functions.
 
 Patterns are written so that no text makes them slow: runs are matched possessively and start where a run starts.
 They give the same matches as the plain forms
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, documents, keyed, scratch, small, written
+from .common import KEY, documents, keyed, scratch, written
 
 CONTEXT, MIN_TERM, MIN_SUPPORT, GENERALISE, REMOVE = 80, 4, 5, 0.6, 0.85
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -136,9 +136,9 @@ def disclosing(near: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
     pairs = near.select(*KEY, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_SUPPORT)
     pairs = written(pairs, folder, "pairs")
     entities = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = small(written(pairs.select("term").distinct(), folder, "terms"), 200_000)
-    spoken = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    counts = spoken.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # words are counted before they meet the pairs' terms: the join then has a row a term, not one an occurrence
+    spoken = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= MIN_TERM)
+    counts = spoken.groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
     scored = pairs.join(entities, "entity").join(counts, "term")
     told = F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(F.lit(float(n)) / F.col("n_entity"))
