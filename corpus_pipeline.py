@@ -13,7 +13,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules keep (operator 1)."""
     folder = scratch(spark)
     refs = written(quality.references(docs, folder), folder, "references")
-    return quality.judge(docs, refs).where("_q.kept").select(*docs.columns)
+    # written whole: a filter over the judgement would be pushed into it, and computes it again at every step
+    judged = written(quality.judge(docs, refs), folder, "judged")
+    return judged.where("_q.kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
