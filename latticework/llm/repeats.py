@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, documents, scratch, written
 
 WINDOW, BLOCK = 13, 7
-CHUNK_CHARS, BUCKET_ROWS, CHARS_A_WORD = 12_000_000, 4_000_000, 6
+CHUNK_CHARS, BUCKET_ROWS, CHARS_A_WORD = 6_000_000, 1_500_000, 6
 #: A set of row keys (16 bytes each) up to this size is broadcast; beyond it rows meet by a shuffle.
 BROADCAST_KEYS = 1_000_000
 LAST = np.iinfo(np.int64).max
@@ -339,7 +339,7 @@ def covered_windows(rows: DataFrame, folder: str) -> DataFrame:
     """oid, h1, starts: where the covered windows of a text start. rows: oid, h1, text, each text once."""
     arrow_batches(rows.sparkSession)
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    buckets = max(12, -(-chars // CHARS_A_WORD // BUCKET_ROWS))
+    buckets = max(64, -(-chars // CHARS_A_WORD // BUCKET_ROWS))
     hits = _meet(rows.select("oid", "h1", "text"), _anchors(buckets), True)
     hits = written(hits.groupBy("oid", "h1").agg(F.collect_list("places").alias("hits")), folder, "hits")
     hit = rows.select("oid", "h1", "text").join(_small(hits.select("oid", "h1")), ["oid", "h1"], "left_semi")
@@ -351,9 +351,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     folder = scratch(docs.sparkSession)
     rows = _keyed(docs)
-    texts = rows.select("oid", "h1", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
+    # distinct comes before the join, so that a large group of copies can be split there
+    texts = rows.select("oid", "h1", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same")).distinct()
     first = texts.groupBy("same").agg(F.min("oid").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    copies = written(texts.join(first, "same").where("oid > first").select("oid", "h1").distinct().withColumn("copy", F.lit(True)), folder, "copies")
+    copies = written(texts.join(first, "same").where("oid > first").select("oid", "h1").withColumn("copy", F.lit(True)), folder, "copies")
     copies = _small(copies)
     starts = covered_windows(rows.join(copies, ["oid", "h1"], "left_anti"), folder)
     joined = rows.join(copies, ["oid", "h1"], "left").join(starts, ["oid", "h1"], "left")
