@@ -136,9 +136,9 @@ def disclosing(near: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
     pairs = near.select(*KEY, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_SUPPORT)
     pairs = written(pairs, folder, "pairs")
     entities = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # words are counted before they meet the pairs' terms: the join then has a row a term, not one an occurrence
+    # an inner join above the count has a row a pair; a semi-join would be planned below it, with a row an occurrence
     spoken = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= MIN_TERM)
-    counts = spoken.groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    counts = spoken.groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(entities, "entity").join(counts, "term")
     told = F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(F.lit(float(n)) / F.col("n_entity"))
