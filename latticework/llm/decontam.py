@@ -1,9 +1,9 @@
 """Operator 10 (native): benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-cased runs of letters and digits; shingles are five words. A document's window for an item is as many
-shingles as the item has. Only windows that align a shared shingle with the item are worth a fingerprint, as others
-have no shingle in common there: a broadcast of the items' shingles finds the texts that have any in one scan, and the
-first shingle of each aligned run gives a window's place.
+shingles as the item has. Similarity ignores order, so a window is worth a fingerprint if it holds enough of the item's shingles,
+in whatever order: a broadcast of the items' shingles finds their places in one scan, and a running count over the places
+leaves out the windows that cannot reach SIMILARITY.
 
 Each window is fingerprinted, and a multi-index finds the items within RADIUS bits: over BLOCKS blocks, RADIUS differing
 bits leave some block with at most RADIUS // BLOCKS differing, so the index holds each item's blocks with up to that
@@ -91,23 +91,35 @@ def _index(items: DataFrame) -> DataFrame:
     return items.withColumn("item_fp", _simhash(F.col("item_hashes"))).select("item_id", "item_fp", "item_hashes", F.inline(keys))
 
 
+def _starts(places: Column, n: Column, m: Column) -> Column:
+    """Of the sorted places of an item's shingles in a text of n: starts of windows of m that can reach SIMILARITY.
+
+    A window that starts beside a hit is no better than the next one, which gives up nothing and may gain a hit: only hits and
+    the last window need a look. From SIMILARITY up a window holds `least` of the item's shingles, so its first hit and the
+    hit `least` - 1 later lie within it."""
+    last = F.greatest(F.lit(0), n - m)
+    least = F.ceil((F.least(n, m) + m) * SIMILARITY / (1 + SIMILARITY) - 1e-9).cast("int")
+    within = F.filter(places, lambda p, i: F.coalesce(F.get(places, i + least - 1) < p + m, F.lit(False)))
+    ending = F.when(F.coalesce(F.get(places, F.size(places) - least) >= last, F.lit(False)), F.array(last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(F.transform(within, lambda p: F.least(p, last)), ending))
+
+
 def _windows(rows: DataFrame, items: DataFrame, folder: str) -> DataFrame:
-    """KEY, doc_id and the hashes of each window that aligns a shingle with an item.
+    """KEY, doc_id and the hashes of each window that holds enough of an item's shingles, wherever they stand in the item.
 
-    Exploded rows hold a hash and the one before it, never the text's whole array, which would be copied for each. Texts
-    with a hit are few and are hashed a second time for their windows."""
-    posted = items.select(F.size("item_hashes").alias("m"), "item_hashes", F.posexplode("item_hashes").alias("p", "h"))
-    posted = posted.select("m", "p", "h", F.when(F.col("p") > 0, F.get("item_hashes", F.col("p") - 1)).alias("item_before")).distinct()
+    Exploded rows hold a hash, never the text's whole array, which would be copied for each. Texts with such a window are few
+    and are hashed a second time."""
+    posted = items.select(F.size("item_hashes").alias("m"), F.xxhash64("item_hashes").alias("g1"), F.hash("item_hashes").alias("g2"), F.explode(F.array_distinct("item_hashes")).alias("h")).distinct()
     hashed = _hashed(rows, "text", "hs")
-    pairs = F.arrays_zip(F.col("hs").alias("h"), F.slice(F.concat(F.array(F.lit(None).cast("long")), "hs"), 1, F.size("hs")).alias("before"))
     # outer: else a filter on the array's size would hash the text twice
-    hits = hashed.select(*KEY, F.posexplode_outer(pairs).alias("place", "x")).select(*KEY, "place", "x.h", "x.before").join(F.broadcast(posted), "h")
-    hits = hits.where((F.col("p") == 0) | F.col("before").isNull() | (F.col("before") != F.col("item_before")))
-    found = hits.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("place") - F.col("p")).alias("at"), "m")).alias("starts"))
+    hits = hashed.select(*KEY, F.size("hs").alias("n"), F.posexplode_outer("hs").alias("place", "h")).join(F.broadcast(posted), "h")
+    held = hits.groupBy(*KEY, "n", "m", "g1", "g2").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    found = held.select(*KEY, F.transform(_starts(F.col("places"), F.col("n"), F.col("m")), lambda at: F.struct(at.alias("at"), F.col("m").alias("m"))).alias("starts")).where(F.size("starts") > 0)
+    found = found.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
     found = written(found, folder, "starts")
     texts = rows.join(small(found.select(*KEY)), KEY, "left_semi").join(found, KEY)
     texts = _hashed(texts, "text", "hs")
-    own = F.transform("starts", lambda x: F.slice("hs", F.greatest(F.lit(0), F.least(x["at"], F.size("hs") - x["m"])) + 1, x["m"]))
+    own = F.transform("starts", lambda x: F.slice("hs", x["at"] + 1, x["m"]))
     return texts.select("doc_id", *KEY, F.explode(F.array_distinct(own)).alias("own"))
 
 

@@ -145,6 +145,17 @@ def test_decontamination(spark):
     assert left == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_decontamination_ignores_order(spark):
+    rng = random.Random(7)
+    items = [[f"w{rng.randint(0, 4000)}" for _ in range(60)] for _ in range(8)]
+    around = [[f"v{rng.randint(0, 4000)}" for _ in range(50)] for _ in range(16)]
+    swapped = [" ".join([*around[k], *t[30:], *t[:30], *around[k + 8]]) for k, t in enumerate(items)]
+    ends = [" ".join([*around[0], *items[0][30:], *items[0][:30]]), " ".join([*items[1][30:], *items[1][:30], *around[1]])]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.matches(table(spark, swapped + ends), bench).collect()}
+    assert found == pytest.approx({(k, k): 52 / 60 for k in range(8)} | {(8, 0): 52 / 60, (9, 1): 52 / 60})
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 40)
     texts = [" ".join(f"t{k}x{j}" for j in range(30)) for k in range(6)]
