@@ -12,7 +12,7 @@ from latticework.llm.common import SPACE, documents, scratch, small, written
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep (operator 1)."""
     folder = scratch(spark)
-    refs = written(quality.references(docs, folder), folder, "references")
+    refs = written(quality.references(docs, folder, bounded=True), folder, "references")
     # written whole: a filter over the judgement would be pushed into it, and computes it again at every step
     judged = written(quality.judge(docs, refs), folder, "judged")
     return judged.where("_q.kept").select(*docs.columns)

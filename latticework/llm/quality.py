@@ -5,6 +5,10 @@ shares of its most common words with one share for all others. A document is rej
 (base 2, square root, 0 to 1) of its own shares to its language's is over a threshold. Texts shorter than the guards
 aren't judged by that rule, as few counts lie far from any reference by chance alone.
 
+Bounded references, which the pipeline uses, give each distinct text of a language the same weight, shared by its copies
+and spread over its words and characters, so neither copies nor long texts move them; languages of fewer than MIN_DOCS
+distinct texts have none and aren't judged by distance. The query's references weigh every token alike, as OP1_SQL does.
+
 The documents are scanned, never shuffled: references are a few hundred numbers for each of at most MAX_LANGUAGES
 languages, so their broadcast is bounded whatever the input. All steps are DataFrame functions.
 
@@ -20,11 +24,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, scratch, words, written
+from .common import SPACE, documents, scratch, small, words, written
 
 MAX_LANGUAGES, COMMON = 256, 24
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.30
 MIN_TOKENS, MAX_WORD_DISTANCE = 80, 0.33
+MIN_DOCS, WEIGHT = 20, 1_000_000_000
 WINDOW, SYMBOLS = 8, "#*$%&|<>"
 ALL = ""
 #: Character classes that are counted by a pattern; what is left over is the class of lower-case and other letters.
@@ -50,11 +55,26 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def references(docs: DataFrame, folder: str) -> DataFrame:
-    """One row a language, and one for all documents: lang, ref_words, ref_word_shares, ref_char_shares."""
+def _weighted(rows: DataFrame, folder: str) -> DataFrame:
+    """Adds _copies: how many rows have the language and the text."""
+    same = ["lang", "_h1", "_h2"]
+    rows = rows.withColumns({"_h1": F.xxhash64("text"), "_h2": F.hash("text", F.lit(1))})
+    copies = written(rows.groupBy(*same).agg(F.count("*").alias("_copies")).where("_copies > 1"), folder, "copies")
+    return rows.join(small(copies), same, "left").select("lang", "text", F.coalesce("_copies", F.lit(1)).alias("_copies"))
+
+
+def references(docs: DataFrame, folder: str, bounded: bool = False) -> DataFrame:
+    """One row a language, and one for all documents: lang, ref_words, ref_word_shares, ref_char_shares. If bounded, each
+    distinct text has the same weight in whole parts of WEIGHT; sums of whole numbers are the same in any order."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     names = [*CLASSES, "rest"]
-    counted = _with_classes(rows, "text").select("lang", F.char_length("text").cast("long").alias("rest"), *(F.col("_c")[k].alias(n) for k, n in enumerate(CLASSES)))
+    if bounded:
+        rows = _weighted(rows, folder)
+    counted = _with_classes(rows, "text").select("*", F.char_length("text").cast("long").alias("rest"), *(F.col("_c")[k].alias(n) for k, n in enumerate(CLASSES)))
+    if bounded:
+        share = F.lit(float(WEIGHT)) / (F.greatest(F.col("rest"), F.lit(1)) * F.col("_copies"))
+        counted = counted.select("lang", *(F.round(F.col(n) * share).cast("long").alias(n) for n in names))
+        distinct = written(rows.groupBy("lang").agg(F.round(F.sum(F.round(F.lit(float(WEIGHT)) / F.col("_copies")).cast("long")) / WEIGHT).alias("n_texts")), folder, "distinct")
     counted = written(counted.groupBy("lang").agg(F.count("*").alias("n_docs"), *(F.sum(n).alias(n) for n in names)), folder, "characters")
     known = counted.where(F.col("lang") != ALL).orderBy(F.desc("n_docs"), "lang").limit(MAX_LANGUAGES)
     total = counted.agg(F.lit(ALL).alias("lang"), *(F.sum(n).alias(n) for n in ["n_docs", *names]))
@@ -63,7 +83,12 @@ def references(docs: DataFrame, folder: str) -> DataFrame:
     chars = chars.withColumn("all", F.greatest(F.col("rest"), F.lit(1))).select("lang", shares.alias("ref_char_shares"))
 
     # outer: else a filter on the array's size would split the text twice
-    spelled = rows.select("lang", F.explode_outer(_tokens(F.col("text"))).alias("w")).where("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    if bounded:
+        split = rows.select("lang", "_copies", _tokens(F.col("text")).alias("ws"))
+        split = split.select("lang", F.round(F.lit(float(WEIGHT)) / (F.greatest(F.size("ws"), F.lit(1)) * F.col("_copies"))).cast("long").alias("u"), F.explode_outer("ws").alias("w"))
+        spelled = split.where("w IS NOT NULL").groupBy("lang", "w").agg(F.sum("u").alias("n"))
+    else:
+        spelled = rows.select("lang", F.explode_outer(_tokens(F.col("text"))).alias("w")).where("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("n"))
     spelled = written(spelled, folder, "words")
     both = spelled.where(F.col("lang") != ALL).unionByName(spelled.groupBy("w").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
     ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= COMMON)
@@ -73,7 +98,12 @@ def references(docs: DataFrame, folder: str) -> DataFrame:
     common = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     word_shares = F.concat(F.transform("top", lambda x: x["n"] / F.col("all_n")), F.array((F.col("all_n") - common) / F.col("all_n")))
     spoken = top.join(sums, "lang").select("lang", F.col("top.w").alias("ref_words"), word_shares.alias("ref_word_shares"))
-    return chars.join(spoken, "lang", "left")
+    refs = chars.join(spoken, "lang", "left")
+    if not bounded:
+        return refs
+    few = distinct.where((F.col("n_texts") < MIN_DOCS) & (F.col("lang") != ALL)).select("lang", F.lit(True).alias("few"))
+    refs = refs.join(F.broadcast(few), "lang", "left")
+    return refs.select("lang", *(F.when(F.col("few").isNull(), F.col(c)).alias(c) for c in refs.columns[1:-1]))
 
 
 def repeats_in_order(hashes: Column) -> Column:

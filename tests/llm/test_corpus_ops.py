@@ -266,3 +266,13 @@ def test_pipeline(spark, tmp_path, enc):
         ids = np.array([*_plain(enc, body[r["doc_id"]]), 0], dtype="<u4")
         assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
     assert [n for n, _ in pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_copied_junk_changes_no_verdict(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    common = "the of and to in is it that was for on are as with his they at be this from".split()
+    plain = [" ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(150)) for _ in range(60)]
+    junk = " ".join(rng.choice([f"sale{c}" for c in "abcdefghijklmno"]) for _ in range(400))
+    kept = [{r["doc_id"] for r in pipeline.quality_rules(spark, table(spark, plain + [junk] * n), "").select("doc_id").collect()} for n in (0, 60)]
+    assert kept[0] == set(range(60)) == kept[1] & set(range(60))
