@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go (operator 9). A document goes if they were all it had: the first document that has them stays whole."""
-    left = lines.strip_lines(docs)
+    """Boilerplate lines go (operator 9), however short. A document goes if they were all it had: the first document that has them stays whole."""
+    left = lines.strip_lines(docs, min_words=1)
     return left.where((F.col("_lines.n_removed") == 0) | F.col("text").rlike(f"[^{SPACE}]")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -5,8 +5,8 @@ one small sketch a task. Lines whose estimate is clearly over the threshold are
 only those within BAND of it get an exact count of distinct sites. A boilerplate line stays in the document with the
 least id that has it, and goes from all others, so no text is lost altogether.
 
-Lines are compared without the white space around them. Lines of fewer than MIN_WORDS words are never judged: they
-meet by chance.
+Lines are compared without the white space around them. The query, like OP9_SQL, judges lines of MIN_WORDS words or more;
+the pipeline sets min_words to 1 and judges every line that isn't blank, menu lines and scripts without spaces included.
 
 Defined cases: a null text is empty; a null site counts as one site of its own; a null doc_id comes after all others;
 rows of equal id and text are treated alike; an empty table gives no rows; other columns are kept by strip_lines().
@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 from .common import KEY, SPACE, documents, keyed, scratch, small, written
 
 MIN_SITES, MIN_WORDS, LOG_K, BAND = 10, 3, 12, 0.10
-_ENOUGH = f"^[^{SPACE}]+([{SPACE}]+[^{SPACE}]+){{{MIN_WORDS - 1}}}"
 _LINE = ["l1", "l2"]
 
 
-def _lines(rows: DataFrame) -> DataFrame:
+def _lines(rows: DataFrame, min_words: int) -> DataFrame:
     """A row for each judged line: the key, its place, its hash (96 bits) and its site."""
     line = rows.select(*KEY, "_site", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "raw"))
-    line = line.withColumn("raw", F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")).where(F.col("raw").rlike(_ENOUGH))
+    line = line.withColumn("raw", F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")).where(F.col("raw").rlike(f"^[^{SPACE}]+([{SPACE}]+[^{SPACE}]+){{{min_words - 1}}}"))
     return line.select(*KEY, "place", F.xxhash64("raw").alias("l1"), F.hash("raw").alias("l2"), "_site")
 
 
@@ -42,11 +41,11 @@ def boilerplate(lines: DataFrame, folder: str, min_sites: int = MIN_SITES) -> Da
     return written(spread.where(F.col("n") > min_sites * (1 + BAND)).select(*_LINE, "first").unionByName(near.join(exact, _LINE).select(*_LINE, "first")), folder, "boilerplate")
 
 
-def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with their text stripped of boilerplate lines, and struct _lines: n_lines, n_removed."""
     folder = scratch(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.xxhash64(F.col(site).cast("string")), F.lit(0)).alias("_site")))
-    lines = _lines(rows)
+    lines = _lines(rows, min_words)
     common = small(boilerplate(lines, folder, min_sites))
     gone = lines.join(common, _LINE).where(F.col("_id") > F.col("first"))
     gone = written(gone.groupBy(*KEY).agg(F.collect_set("place").alias("_gone")), folder, "gone")

@@ -276,3 +276,12 @@ def test_copied_junk_changes_no_verdict(spark):
     junk = " ".join(rng.choice([f"sale{c}" for c in "abcdefghijklmno"]) for _ in range(400))
     kept = [{r["doc_id"] for r in pipeline.quality_rules(spark, table(spark, plain + [junk] * n), "").select("doc_id").collect()} for n in (0, 60)]
     assert kept[0] == set(range(60)) == kept[1] & set(range(60))
+
+
+def test_short_lines_go(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(k, f"own line number {k} here\nRead more\n\n版权所有\nrare", "en", f"s{k}", 0) for k in range(12)]
+    rows = [(k, t if k < 9 else t.replace("rare", ""), *rest) for k, t, *rest in rows]
+    left = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert left[0] == rows[0][1]
+    assert all(left[k] == f"own line number {k} here\n\n{'rare' if k < 9 else ''}" for k in range(1, 12))
