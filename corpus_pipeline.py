@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import decontam, lines, packing, quality, simhash
-from latticework.llm.common import SPACE, documents, scratch, small, written
+from latticework.llm.common import KEY, SPACE, documents, keyed, scratch, small, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +26,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the least id (operator 8); of repeated rows one
-    stays. Documents without an id stay, as no id tells them apart."""
+    stays, and of different texts of one id and group that with the least hashes. Documents without an id stay, as no id
+    tells them apart."""
     folder = scratch(spark)
-    gone = written(simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), folder, "gone")
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    near = written(simhash.grouped(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "_h1", "_h2", "component_id"), folder, "near")
+    gone = near.where("_id <> component_id").select(*KEY)
     twice = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty()
+    if twice:
+        least = near.where("_id = component_id").groupBy("_id").agg(F.min(F.struct("_h1", "_h2")).alias("first"))
+        gone = gone.unionByName(near.where("_id = component_id").join(least, "_id").where(F.struct("_h1", "_h2") != F.col("first")).select(*KEY))
+    left = keyed(docs).where("doc_id IS NOT NULL").join(small(written(gone.distinct(), folder, "gone")), KEY, "left_anti").select(*docs.columns)
+    left = left.unionByName(docs.where("doc_id IS NULL"))
     return left.dropDuplicates(["doc_id", "text"]) if twice else left
 
 

@@ -55,15 +55,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and the text's hashes _h1 and _h2 of every row."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2), batch.column(3)], names=["doc_id", "fp", "_h1", "_h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumns({"_h1": F.xxhash64("text"), "_h2": F.hash("text", F.lit(1))}).mapInArrow(run, "doc_id long, fp long, _h1 long, _h2 int")
 
 
 class Forest:
@@ -196,13 +197,18 @@ def link(fps: DataFrame, folder: str, radius: int = RADIUS, shard_rows: int = SH
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable)."""
+    return grouped(docs, radius, shingle).drop("_h1", "_h2")
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The same with _h1 and _h2, which tell rows of equal id and different texts apart."""
     folder = scratch(docs.sparkSession)
     rows = written(fingerprints(docs, shingle), folder, "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
     found = components(link(distinct.select("fp"), folder, radius), folder)
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_h1", "_h2")
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,3 +285,13 @@ def test_short_lines_go(spark):
     left = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert left[0] == rows[0][1]
     assert all(left[k] == f"own line number {k} here\n\n{'rare' if k < 9 else ''}" for k in range(1, 12))
+
+
+def test_one_id_with_two_texts(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(200)) for _ in range(2)]
+    rows = [(1, texts[0], "en", "a", 0), (2, texts[0] + " end", "en", "a", 0), (2, texts[1], "en", "a", 0), (None, texts[0], "en", "a", 0)]
+    rows += [(1, texts[0] + " tail", "en", "a", 0)]
+    left = [(r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert (2, texts[1]) in left and (None, texts[0]) in left and len(left) == 3
