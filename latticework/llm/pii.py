@@ -1,14 +1,14 @@
-r"""Operator 6 (native): personal data, and the terms near it that give it away.
+r"""Operator 6 (native): personal data, and the terms that give it away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity c.
-Terms t are the words of MIN_TERM letters or more within CONTEXT characters of an entity on its line. Over all
-documents, p(t) and p(c) are the shares of documents that have t and c, p(c, t) the share that has t near c. Pointwise
-mutual information log(p(c, t) / (p(c) p(t))) is what t tells of c; over c's own information, log(1 / p(c)), it is the
-part of c that t discloses. From GENERALISE up the term is to be generalised, from REMOVE up removed, if MIN_SUPPORT
-documents bear it out.
+Terms t are the words, of any length, outside the spans of a document that has an entity. Over all documents, p(t) and
+p(c) are the shares of documents that have t and c, p(c, t) the share that has both. Pointwise mutual information
+log(p(c, t) / (p(c) p(t))) is what t tells of c; over c's own information, log(1 / p(c)), it is the part of c that t
+discloses. From GENERALISE up the term is to be generalised, from REMOVE up removed, wherever it stands, in documents
+without the entity too. No support is asked for: a word that only documents with c have discloses c.
 
-Contexts are short, so only they are exploded; words' document counts then meet the terms of supported pairs
-alone. Joins on entities and terms are equi-joins after aggregation. All steps are DataFrame functions.
+Words are written once, by document, and are counted, paired and joined from there; pairs are aggregated before they
+meet counts, by equi-joins. All steps are DataFrame functions.
 
 Patterns are written so that no text makes them slow: runs are matched possessively and start where a run starts.
 They give the same matches as the plain forms
@@ -17,7 +17,7 @@ They give the same matches as the plain forms
 with parts up to 255; 12 to 19 digits and the Luhn sum; 9 to 15 digits.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is kept; rows of equal id and text get the same
-spans; no entity or no supported pair leaves the base spans; an empty table gives no rows; other columns are ignored.
+spans; no entity or no disclosing term leaves the base spans; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, documents, keyed, scratch, written
+from .common import KEY, documents, keyed, scratch, small, written
 
-CONTEXT, MIN_TERM, MIN_SUPPORT, GENERALISE, REMOVE = 80, 4, 5, 0.6, 0.85
+GENERALISE, REMOVE = 0.6, 0.85
+_WORD = r"[\p{L}\p{N}]+"
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind: (pattern, what a text must hold for the pattern to be tried)
 PATTERNS = {
@@ -105,58 +106,58 @@ def _entity(s: Column) -> Column:
     return F.concat(s["k"].cast("string"), F.lit(":"), value)
 
 
-def _terms(context: Column, at: Column) -> Column:
-    """The words of a short context with their places: (term, start, end)."""
-    word = r"[\p{L}\p{N}]+"
-    placed = _placed(F.split(context, word, -1), F.regexp_extract_all(context, F.lit(word), F.lit(0)), 0)
-    wide = F.filter(placed, lambda w: (F.char_length(w["found"]) >= MIN_TERM) & w["found"].rlike(r"^\p{L}+$"))
-    return F.transform(wide, lambda w: F.struct(F.lower(w["found"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
-
-
-def _contexts(text: Column, spans: Column) -> Column:
-    """Per span: its entity and the terms around it on its line; words that the window cuts don't count."""
-
-    def one(s: Column) -> Column:
-        # one character more than the context tells whether its first or last word is cut; such a word goes with it
-        low = F.greatest(s["start"] - CONTEXT, F.lit(0).cast("long"))
-        before = F.substr(text, (low + 1).cast("int"), (s["start"] - low).cast("int"))
-        line = F.regexp_replace(before, r"(?s)^.*\n", "")
-        line = F.when((low > 0) & (F.char_length(line) == F.char_length(before)), F.regexp_replace(line, r"^[\p{L}\p{N}]+", "")).otherwise(line)
-        after = F.regexp_replace(F.substr(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT)), r"(?s)\n.*$", "")
-        after = F.when(F.char_length(after) == CONTEXT, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-        terms = F.concat(_terms(line, s["start"] - F.char_length(line)), _terms(after, s["end"]))
-        return F.struct(_entity(s).alias("entity"), terms.alias("terms"))
-
-    return F.transform(spans, one)
-
-
-def disclosing(near: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
-    """entity, term, k (the span kind that the term's disclosure asks for). near: KEY, entity, term; rows: KEY, text."""
-    n = rows.count()
-    pairs = near.select(*KEY, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_SUPPORT)
-    pairs = written(pairs, folder, "pairs")
-    entities = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # an inner join above the count has a row a pair; a semi-join would be planned below it, with a row an occurrence
-    spoken = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= MIN_TERM)
-    counts = spoken.groupBy("term").agg(F.count("*").alias("n_term"))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a line break for each span."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        piece = F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece, F.lit("\n")).alias("out"))
+
+    return F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+
+
+def _marked(text: Column, terms: Column) -> Column:
+    """Spans of a text's words that are in a map of terms to kinds."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+    def add(a: Column, w: Column) -> Column:
+        end = a["at"] + F.char_length(w)
+        k = F.element_at(terms, F.lower(w))
+        span = F.struct(a["at"].alias("start"), k.alias("k"), end.alias("end"), w.alias("found"))
+        return F.struct(end.alias("at"), F.when(k.isNull(), a["spans"]).otherwise(F.concat(a["spans"], F.array(span))).alias("spans"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(rf"{_WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0)), start, add, lambda a: a["spans"])
+
+
+def disclosing(based: DataFrame, folder: str) -> DataFrame:
+    """term, k (the span kind that the term's greatest disclosure asks for). based: KEY, _spans, _terms."""
+    n = based.count()
+    held = based.where(F.size("_spans") > 0).select(F.array_distinct(F.transform("_spans", _entity)).alias("entities"), "_terms")
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = held.select(F.explode("entities").alias("entity"), "_terms").select("entity", F.explode("_terms").alias("term"))
+    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")), folder, "pairs")
+    counts = based.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(entities, "entity").join(counts, "term")
     told = F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(F.lit(float(n)) / F.col("n_entity"))
     scored = scored.withColumn("part", F.when(own > 0, told / own).otherwise(0.0)).where(F.col("part") >= GENERALISE)
-    return written(scored.select("entity", "term", F.when(F.col("part") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("k")), folder, "disclosing")
+    kind = F.when(F.max("part") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS))
+    return written(scored.groupBy("term").agg(kind.alias("k")), folder, "disclosing")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, KEY, _spans (base) and _all (base and disclosing terms): arrays of (start, k, end, found)."""
     folder = scratch(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    based = base_spans(rows, "text").withColumn("_near", F.when(F.size("_spans") > 0, _contexts(F.col("text"), F.col("_spans")))).drop("text")
-    based = written(based, folder, "spans")
-    near = based.where("_near IS NOT NULL").select(*KEY, F.explode("_near").alias("x")).select(*KEY, "x.entity", F.inline("x.terms"))
-    found = disclosing(near, rows, folder)
-    extra = near.join(found, ["entity", "term"]).groupBy(*KEY, "start", "end").agg(F.max("k").alias("k"), F.min("term").alias("found"))
-    extra = extra.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("start"), F.col("k").cast("int").alias("k"), F.col("end"), F.col("found"))).alias("_extra"))
-    joined = based.join(extra, KEY, "left")
+    based = base_spans(rows, "text").withColumn("_out", F.when(F.size("_spans") > 0, _outside(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("_out", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
+    based = written(based.withColumn("_terms", terms).drop("text", "_out"), folder, "spans")
+    found = disclosing(based, folder)
+    hits = based.select(*KEY, F.explode("_terms").alias("term")).join(small(found), "term")
+    hits = hits.groupBy(*KEY).agg(F.map_from_entries(F.collect_set(F.struct("term", "k"))).alias("_told"))
+    extra = rows.join(hits, KEY).select(*KEY, _marked(F.col("text"), F.col("_told")).alias("_extra")).dropDuplicates(KEY)
+    joined = based.drop("_terms").join(written(extra, folder, "extra"), KEY, "left")
     apart = F.filter("_extra", lambda t: ~F.exists("_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return joined.withColumn("_all", F.when(F.col("_extra").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", apart))))
 

@@ -106,6 +106,16 @@ def test_disclosing_terms(spark):
     assert [s["k"] for s in got[3]["_spans"]] == [0] and len(got[100]["_all"]) == 0
 
 
+def test_rare_and_distant_terms_disclose(spark):
+    texts = ["Li sits in r12\n" + "common words " * 20 + "\nmail li.x@secret.org today", "common words today\nr12 is where LI sits", "Li"]
+    texts += [f"common words today sits in mail is where filler{k}" for k in range(200)]
+    got = {r["doc_id"]: [(texts[r["doc_id"]][s["start"] : s["end"]], s["k"]) for s in r["_all"]] for r in pii.sanitise(table(spark, texts)).collect()}
+    low, high = len(pii.KINDS), len(pii.KINDS) + 1
+    # one document has the entity; of 203, Li is in 3 (0.79 of what tells it) and r12 in 2 (0.87)
+    assert got[0] == [("Li", low), ("r12", high), ("li.x@secret.org", 0)]
+    assert got[1] == [("r12", high), ("LI", low)] and got[2] == [("Li", low)] and got[100] == []
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
 
