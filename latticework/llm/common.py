@@ -71,9 +71,23 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the Arrow batches that Python operators get, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Spark's own bounds of an Arrow batch, and those that texts need.
+_BATCH = {"maxRecordsPerBatch": ("10000", "2000"), "maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python operators get, in rows and in bytes, as texts can be long. Bounds that a session
+    has set itself stay."""
+    for name, (default, bound) in _BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
+
+
+def whole(docs: DataFrame) -> Column:
+    """The whole input row as one struct: an operator carries it under a name of its own, so no column of the input, whatever
+    its name, meets a column that the operator makes."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def sql_string(values: list[str]) -> str:
