@@ -1,14 +1,24 @@
 r"""Operator 6 (native): personal data, and the terms that give it away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity c.
-Terms t are the words, of any length, outside the spans of a document that has an entity. Over all documents, p(t) and
-p(c) are the shares of documents that have t and c, p(c, t) the share that has both. Pointwise mutual information
-log(p(c, t) / (p(c) p(t))) is what t tells of c; over c's own information, log(1 / p(c)), it is the part of c that t
-discloses. From GENERALISE up the term is to be generalised, from REMOVE up removed, wherever it stands, in documents
-without the entity too. No support is asked for: a word that only documents with c have discloses c.
+Terms t are the words, of any length, outside the spans of a document. Over all distinct texts, p(t) and p(c) are the
+shares that have t and c, p(c, t) the share that has both; copies of a text are one, so they lend no support. Pointwise
+mutual information log(p(c, t) / (p(c) p(t))) is what t tells of c; over c's own information, log(1 / p(c)), it is the
+part of c that t discloses. From GENERALISE up the term is to be generalised, from REMOVE up removed, wherever it stands,
+in documents without the entity too.
 
-Words are written once, by document, and are counted, paired and joined from there; pairs are aggregated before they
-meet counts, by equi-joins. All steps are DataFrame functions.
+By that measure alone any word of few texts discloses any entity beside it: if c is in one text of a billion, a word of
+a thousand texts tells most of c's thirty bits, and still leaves a thousand texts to choose from. So a term is only
+weighed if it leaves at most LEFT bits of c open: log2(1 / p(c | t)), with one further text that has t and not c, as few
+texts prove little. That asks for no support and no least length, and doesn't depend on the corpus's size: of the texts
+that have a marked term, one in four at least has the entity.
+
+Entities that the same texts have can't be told apart and are one class, so a list of many addresses costs its document
+one entity's pairs. Words are written once, by document; only words that stand beside an entity are counted. All joins
+are equi-joins, and all steps are DataFrame functions.
+
+sanitise() returns the text made safe: each base span gives way to its kind in brackets, a term to be generalised to
+its shape (number, name, code or word), and one to be removed to nothing.
 
 Patterns are written so that no text makes them slow: runs are matched possessively and start where a run starts.
 They give the same matches as the plain forms
@@ -16,8 +26,9 @@ They give the same matches as the plain forms
     [0-9]([\x20-]?[0-9])+                                  \+[0-9][\x20().0-9-]+[0-9]
 with parts up to 255; 12 to 19 digits and the Luhn sum; 9 to 15 digits.
 
-Defined cases: a null text is empty and has no spans; a null doc_id is kept; rows of equal id and text get the same
-spans; no entity or no disclosing term leaves the base spans; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty and has no spans; a null doc_id is kept; rows of equal text get the same spans; no
+entity or no disclosing term leaves the base spans; base spans that overlap are covered by one run of kinds; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +36,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, documents, keyed, scratch, small, written
+from .common import documents, scratch, small, written
 
-GENERALISE, REMOVE = 0.6, 0.85
+GENERALISE, REMOVE, LEFT = 0.6, 0.85, 2.0
+_TEXT = ["_h1", "_h2"]
+#: Spans and terms, some 50 bytes each, of texts that have any: up to this many are broadcast; beyond it texts meet them by a shuffle.
+BROADCAST_SPANS = 500_000
 _WORD = r"[\p{L}\p{N}]+"
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind: (pattern, what a text must hold for the pattern to be tried)
@@ -39,6 +53,7 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_CUT = "array<struct<at:bigint,start:bigint,k:int,found:string>>"
 _SPAN = "array<struct<start:bigint,k:int,end:bigint,found:string>>"
 
 
@@ -131,42 +146,92 @@ def _marked(text: Column, terms: Column) -> Column:
 
 
 def disclosing(based: DataFrame, folder: str) -> DataFrame:
-    """term, k (the span kind that the term's greatest disclosure asks for). based: KEY, _spans, _terms."""
-    n = based.count()
-    held = based.where(F.size("_spans") > 0).select(F.array_distinct(F.transform("_spans", _entity)).alias("entities"), "_terms")
-    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = held.select(F.explode("entities").alias("entity"), "_terms").select("entity", F.explode("_terms").alias("term"))
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")), folder, "pairs")
-    counts = based.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = pairs.join(entities, "entity").join(counts, "term")
+    """term, k (the span kind that the term's greatest disclosure asks for). based: _row, _h1, _h2, _spans, _terms."""
+    copies = written(based.groupBy(*_TEXT).agg(F.min("_row").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n"), folder, "copies")
+    texts = based.join(small(copies), _TEXT, "left").where("_first IS NULL OR _first = _row").select(*_TEXT, "_spans", "_terms")
+    held = written(texts.where(F.size("_spans") > 0).select(*_TEXT, F.array_distinct(F.transform("_spans", _entity)).alias("entities"), "_terms"), folder, "held")
+    n = texts.count()
+
+    named = held.select(*_TEXT, F.explode("entities").alias("entity"))
+    alike = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("_h1").alias("x1"), F.bit_xor(F.xxhash64(*_TEXT)).alias("x2"))
+    classes = named.join(alike, "entity").select(*_TEXT, "n_entity", "x1", "x2").distinct()
+    pairs = classes.join(held.select(*_TEXT, "_terms"), _TEXT).select("n_entity", "x1", "x2", F.explode("_terms").alias("term"))
+    pairs = written(pairs.groupBy("n_entity", "x1", "x2", "term").agg(F.count("*").alias("both")), folder, "pairs")
+
+    beside = written(pairs.select("term").distinct(), folder, "beside")
+    counts = texts.select(F.explode("_terms").alias("term")).join(small(beside), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    scored = pairs.join(counts, "term")
+    open_bits = F.log2((F.col("n_term") + 1) / F.col("both"))
     told = F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(F.lit(float(n)) / F.col("n_entity"))
-    scored = scored.withColumn("part", F.when(own > 0, told / own).otherwise(0.0)).where(F.col("part") >= GENERALISE)
+    scored = scored.withColumn("part", F.when(own > 0, told / own).otherwise(0.0)).where((F.col("part") >= GENERALISE) & (open_bits <= LEFT))
     kind = F.when(F.max("part") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS))
     return written(scored.groupBy("term").agg(kind.alias("k")), folder, "disclosing")
 
 
+def _shape(found: Column) -> Column:
+    """What a term is generalised to."""
+    return (
+        F.when(found.rlike(r"^\p{N}+$"), "[number]").when(found.rlike(r"\p{N}"), "[code]")
+        .when(found.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+    )
+
+
+def _cut(spans: Column) -> Column:
+    """Spans in order of start, each with where the text before it begins: the greatest end so far."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("at"), F.array().cast(_CUT).alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        one = F.struct(a["at"].alias("at"), s["start"].alias("start"), s["k"].alias("k"), s["found"].alias("found"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(spans, start, add)
+
+
+def _safe(text: Column, cut: Column) -> Column:
+    """The text with its spans replaced."""
+    tags = F.array(*(F.lit(f"[{k}]") for k in KINDS))
+
+    def piece(s: Column) -> Column:
+        new = F.when(s["k"] < len(KINDS), F.get(tags, s["k"])).when(s["k"] == len(KINDS), _shape(s["found"])).otherwise("")
+        return F.concat(F.substr(text, (s["at"] + 1).cast("int"), F.greatest(s["start"] - s["at"], F.lit(0)).cast("int")), new)
+
+    return F.concat(F.array_join(F.transform(cut["out"], piece), ""), F.substr(text, (cut["at"] + 1).cast("int")))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, KEY, _spans (base) and _all (base and disclosing terms): arrays of (start, k, end, found)."""
+    """doc_id, text (the input's), sanitised, _spans (base) and _all (base and disclosing terms): arrays of (start, k, end, found)."""
     folder = scratch(docs.sparkSession)
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"_h1": F.xxhash64("text"), "_h2": F.hash("text", F.lit(1))})
     based = base_spans(rows, "text").withColumn("_out", F.when(F.size("_spans") > 0, _outside(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
     terms = F.array_distinct(F.transform(F.regexp_extract_all("_out", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
-    based = written(based.withColumn("_terms", terms).drop("text", "_out"), folder, "spans")
+    based = written(based.select(F.monotonically_increasing_id().alias("_row"), *_TEXT, "_spans", terms.alias("_terms")), folder, "spans")
     found = disclosing(based, folder)
-    hits = based.select(*KEY, F.explode("_terms").alias("term")).join(small(found), "term")
-    hits = hits.groupBy(*KEY).agg(F.map_from_entries(F.collect_set(F.struct("term", "k"))).alias("_told"))
-    extra = rows.join(hits, KEY).select(*KEY, _marked(F.col("text"), F.col("_told")).alias("_extra")).dropDuplicates(KEY)
-    joined = based.drop("_terms").join(written(extra, folder, "extra"), KEY, "left")
-    apart = F.filter("_extra", lambda t: ~F.exists("_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return joined.withColumn("_all", F.when(F.col("_extra").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", apart))))
+    hits = based.select(*_TEXT, F.explode("_terms").alias("term")).join(small(found), "term").distinct()
+    hits = written(hits.groupBy(*_TEXT).agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_told")), folder, "hits")
+    # texts with a span or a term, once each; all other rows stay in their scan
+    spans = based.where(F.size("_spans") > 0).groupBy(*_TEXT).agg(F.first("_spans").alias("_base"))
+    touched = written(spans.join(hits, _TEXT, "full"), folder, "touched")
+    none = F.array().cast(_SPAN)
+    n_spans = touched.agg(F.sum(F.coalesce(F.size("_base"), F.lit(0)) + F.coalesce(F.size("_told"), F.lit(0)))).first()[0] or 0
+    joined = rows.join(F.broadcast(touched) if n_spans <= BROADCAST_SPANS else touched, _TEXT, "left").withColumn("_base", F.coalesce("_base", none))
+    extra = F.when(F.col("_told").isNotNull(), _marked(F.col("text"), F.col("_told"))).otherwise(none)
+    apart = F.filter(extra, lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    joined = joined.withColumn("_all", F.when(F.col("_told").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", apart))))
+    joined = joined.withColumn("_cut", F.when(F.size("_all") > 0, _cut(F.col("_all"))))
+    safe = F.when(F.col("_cut").isNotNull(), _safe(F.col("text"), F.col("_cut"))).otherwise(F.col("text"))
+    return joined.select("doc_id", "text", safe.alias("sanitised"), F.col("_base").alias("_spans"), "_all")
 
 
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; disclosing terms are spans of kind generalise or remove."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and sanitised_sha256; disclosing terms are spans of kind
+    generalise or remove."""
     df = sanitise(documents(spark, sf_dir))
     counts = [_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return df.select("doc_id", *counts, F.sha2(_told(F.col("_spans")), 256).alias("base_sha256"), _told(F.col("_all")).alias("spans"))
+    told = [F.sha2(_told(F.col("_spans")), 256).alias("base_sha256"), _told(F.col("_all")).alias("spans"), F.sha2(F.col("sanitised"), 256).alias("sanitised_sha256")]
+    return df.select("doc_id", *counts, *told)
 
 
 def _count(k: int) -> Column:
