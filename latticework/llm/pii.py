@@ -11,11 +11,14 @@ By that measure alone any word of few texts discloses any entity beside it: if c
 a thousand texts tells most of c's thirty bits, and still leaves a thousand texts to choose from. So a term is only
 weighed if it leaves at most LEFT bits of c open: log2(1 / p(c | t)), with one further text that has t and not c, as few
 texts prove little. That asks for no support and no least length, and doesn't depend on the corpus's size: of the texts
-that have a marked term, one in four at least has the entity.
+that have a marked term, one in four at least has the entity. A term that also stands in texts without c may have met c
+by chance: if q is the share of texts that hold any entity, chance alone sets n(t) q of its texts beside one, and the
+term is weighed if that is at most CHANCE of those that it shares with c. So where entities are common a rare word's one
+meeting with one of them marks no other text.
 
 Entities that the same texts have can't be told apart and are one class, so a list of many addresses costs its document
-one entity's pairs. Words are written once, by document; only words that stand beside an entity are counted. All joins
-are equi-joins, and all steps are DataFrame functions.
+one entity's pairs. Words are written once, by document, and counted with partial sums. All joins are equi-joins, and all
+steps are DataFrame functions.
 
 sanitise() returns the text made safe: each base span gives way to its kind in brackets, a term to be generalised to
 its shape (number, name, code or word), and one to be removed to nothing.
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, scratch, small, written
 
-GENERALISE, REMOVE, LEFT = 0.6, 0.85, 2.0
+GENERALISE, REMOVE, LEFT, CHANCE = 0.6, 0.85, 2.0, 0.05
 _TEXT = ["_h1", "_h2"]
 #: Spans and terms, some 50 bytes each, of texts that have any: up to this many are broadcast; beyond it texts meet them by a shuffle.
 BROADCAST_SPANS = 500_000
@@ -158,13 +161,13 @@ def disclosing(based: DataFrame, folder: str) -> DataFrame:
     pairs = classes.join(held.select(*_TEXT, "_terms"), _TEXT).select("n_entity", "x1", "x2", F.explode("_terms").alias("term"))
     pairs = written(pairs.groupBy("n_entity", "x1", "x2", "term").agg(F.count("*").alias("both")), folder, "pairs")
 
-    beside = written(pairs.select("term").distinct(), folder, "beside")
-    counts = texts.select(F.explode("_terms").alias("term")).join(small(beside), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = texts.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(counts, "term")
     open_bits = F.log2((F.col("n_term") + 1) / F.col("both"))
     told = F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(F.lit(float(n)) / F.col("n_entity"))
-    scored = scored.withColumn("part", F.when(own > 0, told / own).otherwise(0.0)).where((F.col("part") >= GENERALISE) & (open_bits <= LEFT))
+    met = (F.col("n_term") == F.col("both")) | (F.col("n_term") * (held.count() / max(n, 1)) <= CHANCE * F.col("both"))
+    scored = scored.withColumn("part", F.when(own > 0, told / own).otherwise(0.0)).where((F.col("part") >= GENERALISE) & (open_bits <= LEFT) & met)
     kind = F.when(F.max("part") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS))
     return written(scored.groupBy("term").agg(kind.alias("k")), folder, "disclosing")
 
@@ -209,7 +212,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     terms = F.array_distinct(F.transform(F.regexp_extract_all("_out", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
     based = written(based.select(F.monotonically_increasing_id().alias("_row"), *_TEXT, "_spans", terms.alias("_terms")), folder, "spans")
     found = disclosing(based, folder)
-    hits = based.select(*_TEXT, F.explode("_terms").alias("term")).join(small(found), "term").distinct()
+    hits = based.select(*_TEXT, F.explode("_terms").alias("term")).join(small(found, 300_000), "term").distinct()
     hits = written(hits.groupBy(*_TEXT).agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_told")), folder, "hits")
     # texts with a span or a term, once each; all other rows stay in their scan
     spans = based.where(F.size("_spans") > 0).groupBy(*_TEXT).agg(F.first("_spans").alias("_base"))
