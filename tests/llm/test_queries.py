@@ -130,7 +130,8 @@ def disclosed(texts):
     told = {}
     for (c, w), b in both.items():
         part = math.log(b * n / (held[c] * have[w])) / math.log(n / held[c]) if held[c] < n else 0
-        if part >= pii.GENERALISE and math.log2((have[w] + 1) / b) <= pii.LEFT:
+        met = have[w] == b or have[w] * (sum(map(bool, base.values())) / n) <= pii.CHANCE * b
+        if part >= pii.GENERALISE and math.log2((have[w] + 1) / b) <= pii.LEFT and met:
             told[w] = max(told.get(w, 0), 5 if part >= pii.REMOVE else 4)
     out = {}
     for t in distinct:
@@ -148,16 +149,16 @@ def disclosed(texts):
     return out
 
 
-def test_op6(spark, tables):
-    path, rows, _ = tables
-    want = disclosed([r[1] for r in rows])
+def check_op6(spark, path, texts):
+    """Compares the query with brute force; returns the kinds of span that came up."""
+    want = disclosed([t for _, t in texts])
     names = [*pii.KINDS, "generalise", "remove"]
 
     def told(spans):
         return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
     expected = Counter()
-    for d, t, *_ in rows:
+    for d, t in texts:
         spans, safe = want[t or ""]
         base = [s for s in spans if s[1] < 4]
         counts = [sum(s[1] == k for s in base) for k in range(4)]
@@ -165,7 +166,18 @@ def test_op6(spark, tables):
     got = pii.op6_disclosure(spark, path)
     assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised_sha256"]
     assert Counter(map(tuple, got.collect())) == expected
-    assert {names[k] for spans, _ in want.values() for _, k, _ in spans} == set(names)
+    return {names[k] for spans, _ in want.values() for _, k, _ in spans}
+
+
+def test_op6(spark, tables):
+    path, rows, _ = tables
+    assert check_op6(spark, path, [r[:2] for r in rows]) == {*pii.KINDS, "remove"}
+
+
+def test_op6_where_entities_are_rare(spark, tmp_path):
+    texts = [(0, "Li sits in r12, li.x@corp.example"), (1, "r12 is where LI sits"), (2, "Li"), (2, "Li"), (3, "Li sits in r12, li.x@corp.example")] + [(k, f"plain words sits in filler{k % 280}") for k in range(10, 310)]
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in texts], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert check_op6(spark, str(tmp_path), texts) == {"email", "generalise", "remove"}
 
 
 def test_disclosure_counts_every_text_of_an_entity(spark):
