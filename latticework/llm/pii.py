@@ -152,21 +152,21 @@ def disclosing(based: DataFrame, folder: str) -> DataFrame:
     """term, k (the span kind that the term's greatest disclosure asks for). based: _row, _h1, _h2, _spans, _terms."""
     copies = written(based.groupBy(*_TEXT).agg(F.min("_row").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n"), folder, "copies")
     texts = based.join(small(copies), _TEXT, "left").where("_first IS NULL OR _first = _row").select(*_TEXT, "_spans", "_terms")
-    held = written(texts.where(F.size("_spans") > 0).select(*_TEXT, F.array_distinct(F.transform("_spans", _entity)).alias("entities"), "_terms"), folder, "held")
-    n = texts.count()
+    held = texts.where(F.size("_spans") > 0).select(*_TEXT, F.array_distinct(F.transform("_spans", _entity)).alias("entities"), "_terms")
+    n, n_held = texts.agg(F.count("*"), F.count_if(F.size("_spans") > 0)).first()
 
     named = held.select(*_TEXT, F.explode("entities").alias("entity"))
     alike = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("_h1").alias("x1"), F.bit_xor(F.xxhash64(*_TEXT)).alias("x2"))
     classes = named.join(alike, "entity").select(*_TEXT, "n_entity", "x1", "x2").distinct()
     pairs = classes.join(held.select(*_TEXT, "_terms"), _TEXT).select("n_entity", "x1", "x2", F.explode("_terms").alias("term"))
-    pairs = written(pairs.groupBy("n_entity", "x1", "x2", "term").agg(F.count("*").alias("both")), folder, "pairs")
+    pairs = pairs.groupBy("n_entity", "x1", "x2", "term").agg(F.count("*").alias("both"))
 
     counts = texts.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(counts, "term")
     open_bits = F.log2((F.col("n_term") + 1) / F.col("both"))
     told = F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(F.lit(float(n)) / F.col("n_entity"))
-    met = (F.col("n_term") == F.col("both")) | (F.col("n_term") * (held.count() / max(n, 1)) <= CHANCE * F.col("both"))
+    met = (F.col("n_term") == F.col("both")) | (F.col("n_term") * (n_held / max(n, 1)) <= CHANCE * F.col("both"))
     scored = scored.withColumn("part", F.when(own > 0, told / own).otherwise(0.0)).where((F.col("part") >= GENERALISE) & (open_bits <= LEFT) & met)
     kind = F.when(F.max("part") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS))
     return written(scored.groupBy("term").agg(kind.alias("k")), folder, "disclosing")
@@ -213,7 +213,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     based = written(based.select(F.monotonically_increasing_id().alias("_row"), *_TEXT, "_spans", terms.alias("_terms")), folder, "spans")
     found = disclosing(based, folder)
     hits = based.select(*_TEXT, F.explode("_terms").alias("term")).join(small(found, 300_000), "term").distinct()
-    hits = written(hits.groupBy(*_TEXT).agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_told")), folder, "hits")
+    hits = hits.groupBy(*_TEXT).agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_told"))
     # texts with a span or a term, once each; all other rows stay in their scan
     spans = based.where(F.size("_spans") > 0).groupBy(*_TEXT).agg(F.first("_spans").alias("_base"))
     touched = written(spans.join(hits, _TEXT, "full"), folder, "touched")
