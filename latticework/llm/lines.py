@@ -5,11 +5,12 @@ one small sketch a task. Lines whose estimate is clearly over the threshold are
 only those within BAND of it get an exact count of distinct sites. A boilerplate line stays in the document with the
 least id that has it, and goes from all others, so no text is lost altogether.
 
-Lines are compared without the white space around them. The query, like OP9_SQL, judges lines of MIN_WORDS words or more;
-the pipeline sets min_words to 1 and judges every line that isn't blank, menu lines and scripts without spaces included.
+Lines are compared without the white space around them. Every line that isn't blank is judged, however short: menu lines,
+and lines of scripts without spaces, which are one word.
 
 Defined cases: a null text is empty; a null site counts as one site of its own; a null doc_id comes after all others;
-rows of equal id and text are treated alike; an empty table gives no rows; other columns are kept by strip_lines().
+rows of equal id and text are treated alike; an empty table gives no rows; other columns, whatever their names, are
+carried by strip_lines(), but for one named _lines, which it replaces.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, SPACE, documents, keyed, scratch, small, written
+from .common import KEY, SPACE, documents, keyed, scratch, small, whole, written
 
-MIN_SITES, MIN_WORDS, LOG_K, BAND = 10, 3, 12, 0.10
+MIN_SITES, LOG_K, BAND = 10, 12, 0.10
 _LINE = ["l1", "l2"]
 
 
-def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """A row for each judged line: the key, its place, its hash (96 bits) and its site."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """A row for each line that isn't blank: the key, its place, its hash (96 bits) and its site."""
     line = rows.select(*KEY, "_site", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "raw"))
-    line = line.withColumn("raw", F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")).where(F.col("raw").rlike(f"^[^{SPACE}]+([{SPACE}]+[^{SPACE}]+){{{min_words - 1}}}"))
+    line = line.withColumn("raw", F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")).where("raw <> ''")
     return line.select(*KEY, "place", F.xxhash64("raw").alias("l1"), F.hash("raw").alias("l2"), "_site")
 
 
@@ -41,27 +42,31 @@ def boilerplate(lines: DataFrame, folder: str, min_sites: int = MIN_SITES) -> Da
     return written(spread.where(F.col("n") > min_sites * (1 + BAND)).select(*_LINE, "first").unionByName(near.join(exact, _LINE).select(*_LINE, "first")), folder, "boilerplate")
 
 
-def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows with their text stripped of boilerplate lines, and struct _lines: n_lines, n_removed."""
+def stripped(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """`row`, the input's row as a struct, `left`, its text without boilerplate lines (null if it was), n_lines and n_removed."""
     folder = scratch(docs.sparkSession)
-    rows = keyed(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.xxhash64(F.col(site).cast("string")), F.lit(0)).alias("_site")))
-    lines = _lines(rows, min_words)
+    text = F.col("text").cast("string").alias("text")
+    lines = _lines(keyed(docs.select("doc_id", text, F.coalesce(F.xxhash64(F.col(site).cast("string")), F.lit(0)).alias("_site"))))
     common = small(boilerplate(lines, folder, min_sites))
     gone = lines.join(common, _LINE).where(F.col("_id") > F.col("first"))
-    gone = written(gone.groupBy(*KEY).agg(F.collect_set("place").alias("_gone")), folder, "gone")
-    joined = keyed(docs.withColumn("text", F.col("text").cast("string"))).join(gone, KEY, "left")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n"))
-    counts = F.struct(F.size("_parts").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    joined = joined.withColumn("_parts", parts).withColumn("_left", left).withColumn("_lines", counts)
-    return joined.select(*(F.col("_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "_lines")
+    gone = written(gone.groupBy(*KEY).agg(F.collect_set("place").alias("gone")), folder, "gone")
+    joined = keyed(docs.select(whole(docs).alias("row"), "doc_id", text)).join(gone, KEY, "left").withColumn("parts", F.split(F.coalesce("text", F.lit("")), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n"))
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return joined.select("row", left.alias("left"), F.size("parts").cast("long").alias("n_lines"), removed.alias("n_removed"))
+
+
+def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows with their text stripped of boilerplate lines, and struct _lines: n_lines, n_removed."""
+    columns = [F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "_lines"]
+    return stripped(docs, site, min_sites).select(*columns, F.struct("n_lines", "n_removed").alias("_lines"))
 
 
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left)."""
-    stripped = strip_lines(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return stripped.select("doc_id", "_lines.n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("_lines.n_removed")).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    left = stripped(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return left.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("left", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP9_SQL = f"""
@@ -70,8 +75,7 @@ WITH l AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
 j AS (SELECT *, regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g') AS raw FROM l),
 s AS (SELECT raw, min(doc_id) AS first FROM j
-      WHERE regexp_matches(raw, '^[^ \\t-\\r]+([ \\t-\\r]+[^ \\t-\\r]+){{{MIN_WORDS - 1}}}')
-      GROUP BY raw HAVING count(DISTINCT source) >= {MIN_SITES})
+      WHERE raw <> '' GROUP BY raw HAVING count(DISTINCT source) >= {MIN_SITES})
 SELECT j.doc_id, count(*) AS n_lines, count(*) FILTER (s.raw IS NOT NULL AND j.doc_id > s.first) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (s.raw IS NULL OR j.doc_id <= s.first), '')) AS kept_sha256
 FROM j LEFT JOIN s ON j.raw = s.raw GROUP BY j.doc_id
