@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -295,3 +296,35 @@ def test_one_id_with_two_texts(spark):
     rows += [(1, texts[0] + " tail", "en", "a", 0)]
     left = [(r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
     assert (2, texts[1]) in left and (None, texts[0]) in left and len(left) == 3
+
+
+CLASHING = ["_q", "_t", "_id", "_h1", "_lines", "_gone", "ref_words", "row", "left", "verdict", "parts", "h", "m", "fp", "n_removed"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, stage):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(None, None), (1, ""), (2, "some words here for the test"), (3, "other words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd(spark).drop("h", "place", "term")
+    for k, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.lit(f"own {k}"))
+    name, run = pipeline.STAGES[stage]
+    got = run(spark, docs, str(tmp_path))
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
+    if name == "best-fit packing":
+        assert got.where("piece = 0").count() == 8
+        return
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    rows = got.collect()
+    assert all(r[c] == f"own {k}" for r in rows for k, c in enumerate(CLASHING))
+    left = sorted((r["doc_id"], (r["text"] or "")[:5]) for r in rows if r["doc_id"] is not None)
+    assert left == {"quality rules": [], "line dedup": [(1, ""), (2, ""), (3, " \t\r\n\x0b"), (4, "w0 w1"), (4, "w0 w1"), (5, "xxxxx")], "SimHash near-dedup": [(1, ""), (4, "w0 w1"), (5, "xxxxx")], "benchmark decontamination": [(1, ""), (2, ""), (3, " \t\r\n\x0b"), (4, "w0 w1"), (4, "w0 w1"), (5, "xxxxx")]}[name]
+    assert sum(r["doc_id"] is None for r in rows) == {"quality rules": 0, "line dedup": 2, "SimHash near-dedup": 2, "benchmark decontamination": 0}[name]
+
+
+def test_near_dedup_keeps_what_only_shares_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(16)
+    one, two = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(100)) for _ in range(2))
+    df = spark.createDataFrame([(1, one, "en", "a", 0), (2, one, "en", "a", 0), (2, two, "en", "a", 0)], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, df, "").collect()) == sorted([(1, one), (2, two)])

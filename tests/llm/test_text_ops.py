@@ -51,6 +51,30 @@ def test_quality_rejects_what_diverges(spark):
     assert kept[62]  # short texts are not judged by words
 
 
+def prose(rng, n, common="the of and to in is it that was for on are as with his they at be this from"):
+    return " ".join(rng.choice(common.split()) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+def test_a_rare_language_is_not_its_own_measure(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 120), "en", "s", 0) for k in range(60)]
+    noise = " ".join("".join(rng.choices("#$%&*<>|~^=@", k=5)) for _ in range(80))
+    rows += [(100 + k, noise + f" {k}", lang, "s", 0) for k, lang in enumerate(["zz", "en", None, ""])]
+    rows += [(200 + k, prose(rng, 120, "ka lo mi nu pe ra so tu"), lang, "s", 0) for k, lang in enumerate(["yy", None])] + [(202, "".join(chr(0x4E00 + rng.randint(0, 999)) + " " * (k % 6 == 0) for k in range(400)), "xx", "s", 0)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[100 + k]["kept"] for k in range(4)) and all(got[100 + k]["char_distance"] > 0.5 for k in range(4))
+    assert all(got[k]["kept"] and got[k]["word_distance"] is None for k in (200, 201, 202)) and got[0]["kept"] and got[0]["word_distance"] is not None
+
+
+def test_every_language_has_its_own_reference(spark):
+    rng = random.Random(13)
+    spoken = {f"l{k}": " ".join("".join(rng.choices("klmnopqrstuvwxyz", k=3)) for _ in range(20)) for k in range(300)}
+    rows = [(100 * k + j, prose(rng, 100, common), lang, "s", 0) for k, (lang, common) in enumerate(spoken.items()) for j in range(quality.MIN_DOCS)]
+    rows.append((50, prose(rng, 100, spoken["l7"]), "l299", "s", 0))
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not kept.pop(50) and all(kept.values())
+
+
 def test_licenses(spark):
     texts = ["Text.\nLicensed under the Apache License, Version 2.0.\nmore", "licensed UNDER the apache license version 2.0", "This is not a licence at all", "All rights reserved.", None, "", "Released under the MIT License. " * 9]
     found = {r["doc_id"]: [(x["place"], x["template"]) for x in r["found"]] for r in licenses.scan(table(spark, texts)).collect()}
@@ -65,7 +89,7 @@ def test_lines(spark):
     got = {r["doc_id"]: (r["text"], tuple(r["_lines"])) for r in lines.strip_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert "shared on many sites" in got[0][0] and got[0][1] == (4, 0)
     for k in range(1, 9):
-        assert got[k][0] == f"own line number {k} here\nshort\nshared on nine sites" and got[k][1] == (4, 1)
+        assert got[k][0] == f"own line number {k} here\nshared on nine sites" and got[k][1] == (4, 2)
     assert got[12] == ("", (1, 1)) and got[13][0] is None
 
 
@@ -166,6 +190,41 @@ def test_decontamination_ignores_order(spark):
     assert found == pytest.approx({(k, k): 52 / 60 for k in range(8)} | {(8, 0): 52 / 60, (9, 1): 52 / 60})
 
 
+def test_phrases_that_many_items_share(spark):
+    rng = random.Random(14)
+    phrase = [f"shared{k}" for k in range(12)]
+    items = [phrase + [f"w{rng.randint(0, 4000)}" for _ in range(20)] for _ in range(30)] + [phrase]
+    texts = [" ".join(i) for i in items[:5]] + [" ".join(phrase * 3), " ".join(phrase[:6]), " ".join(phrase) + " and some other words"]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([*items, items[2], items[2]])], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.matches(table(spark, texts * 2), bench).collect()}
+    want = {(k, k) for k in range(5)} | {(2, 31), (2, 32), (5, 30), (7, 30)} | {(k, 30) for k in range(5)}
+    assert found == want | {(d + 8, i) for d, i in want}
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(15)
+    items = [[f"w{rng.randint(0, 9000)}" for _ in range(n)] for n in (50, 96, 187) for _ in range(150)]
+    texts = []
+    for t in items:
+        m, body = len(t) - 4, list(t)
+        for at in rng.sample(range(4, len(body) - 4, 5), m // 45):  # a changed word costs five shingles of each side: similarity 0.80 to 0.82
+            body[at] = f"x{rng.randint(0, 9000)}"
+        texts.append(" ".join(body))
+
+    def shingles(ws):
+        return Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+
+    want = set()
+    for k, (t, own) in enumerate(zip(items, texts, strict=True)):
+        a, b = shingles(t), shingles(own.split())
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            want.add((k, k))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.matches(table(spark, texts), bench).collect()}
+    assert set(found) <= want and len(want) > 150 and min(found.values()) < 0.83
+    assert len(found) >= 0.97 * len(want)
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 40)
     texts = [" ".join(f"t{k}x{j}" for j in range(30)) for k in range(6)]
