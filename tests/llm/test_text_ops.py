@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -75,12 +76,50 @@ def test_every_language_has_its_own_reference(spark):
     assert not kept.pop(50) and all(kept.values())
 
 
+def _dice(text, template, threshold=0.8):
+    """The best window of a template by brute force: (place, dice), or None."""
+    ws, ts = licenses.normal(text or ""), licenses.normal(template)
+    pairs, own = list(zip(ws, ws[1:], strict=False)), list(zip(ts, ts[1:], strict=False))
+    last, b, best = max(0, len(pairs) - len(own)), set(own), None
+    for at in sorted({min(i, last) for i, x in enumerate(pairs) if x in b} | {last}):
+        a = set(pairs[at : at + len(own)])
+        dice = 2 * len(a & b) / (len(a) + len(b))
+        if dice >= threshold and (best is None or dice > best[1]):
+            best = at, dice
+    return best
+
+
 def test_licenses(spark):
+    rng = random.Random(20)
+    gpl, mit = licenses.TEMPLATES["GPL-3.0 file header"], licenses.TEMPLATES["MIT text"]
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(gpl, 70))
     texts = ["Text.\nLicensed under the Apache License, Version 2.0.\nmore", "licensed UNDER the apache license version 2.0", "This is not a licence at all", "All rights reserved.", None, "", "Released under the MIT License. " * 9]
-    found = {r["doc_id"]: [(x["place"], x["template"]) for x in r["found"]] for r in licenses.scan(table(spark, texts)).collect()}
-    assert found == {0: [(-1, "Apache-2.0"), (1, "Apache-2.0")], 1: [(0, "Apache-2.0")], 2: [], 3: [(0, "Reserved")], 4: [], 5: [], 6: []}
+    texts += [f"{prose(rng, 40)}\n{wrapped}\n{prose(rng, 60)}", f"Copyright 2020 A. N. Other\n\n{mit}", f"Copyright 2020 X. Released under the MIT License. See LICENSE for details. {prose(rng, 30)}", "reserved", mit[: len(mit) * 3 // 4], mit[: len(mit) // 2]]
+    for _ in range(40):
+        ws = licenses.normal(rng.choice(list(licenses.TEMPLATES.values())))
+        for _ in range(rng.randint(0, max(1, len(ws) // 8))):
+            ws[rng.randrange(len(ws))] = rng.choice(["the", "of", "license", "changed"])
+        texts.append(" ".join([prose(rng, rng.randint(0, 20)), *ws[rng.randint(0, 2) :], prose(rng, rng.randint(0, 20))]))
+    found = {r["doc_id"]: {x["template"]: (x["place"], x["dice"]) for x in r["found"]} for r in licenses.scan(table(spark, texts)).collect()}
+    assert found == {d: {n: best for n, t in licenses.TEMPLATES.items() if (best := _dice(text, t))} for d, text in enumerate(texts)}
+    assert found[0] == {"Apache-2.0": (1, 1.0)} and found[6] == {"MIT": (0, 1.0)} and found[2] == found[4] == found[5] == found[10] == {}
+    assert found[7]["GPL-3.0 file header"][1] == 1.0 and found[8]["MIT text"][1] == 1.0 and "MIT" in found[9] and "MIT text" in found[11] and "MIT text" not in found[12]
+
+
+def test_many_templates(spark, monkeypatch):
     every = {f"t{k}": f"notice number {k} of this kind stands here" for k in range(450)}
-    assert licenses.scan(table(spark, ["notice number 431 of this kind stands here"]), every, 0.99).first()["found"][0]["template"] == "t431"
+    for size in (50_000, 40):
+        monkeypatch.setattr(licenses, "BLOCK_BIGRAMS", size)
+        named = every if size > 40 else dict(list(every.items())[425:])
+        assert licenses.scan(table(spark, ["notice number 431 of this kind stands here"]), named, 0.99).first()["found"][0]["template"] == "t431"
+    with pytest.raises(ValueError):
+        licenses.scan(table(spark, ["x"]), {"one": "word"})
+
+
+def test_bigram_hashes_are_the_engines(spark):
+    pairs = [("the", "license"), ("é", "漢字"), ("a" * 40, "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a", "b")).collect()
+    assert [r[0] for r in got] == [licenses._hash(*p) for p in pairs]
 
 
 def test_lines(spark):
