@@ -3,14 +3,15 @@
 A window of WINDOW words always holds a whole block of BLOCK words that starts at a multiple of BLOCK
 (WINDOW = 2 * BLOCK - 1). So the non-overlapping blocks of all documents are the index, and every rolling window of
 BLOCK words of every document probes it. A hit is extended: all windows of WINDOW words around it are held against
-each other by an 80-bit hash, and those whose words also start in a document with a smaller id are covered. The union
-of the covered windows is the maximal exact repeats.
+each other by a hash of 128 bits, two of 64 made of different word hashes, and those whose words also start in a document
+with a smaller id are covered. The union of the covered windows is the maximal exact repeats.
 
 Rolling windows outnumber documents by hundreds, so they travel packed: a task hashes some megabytes of text with
 numpy, deals the windows to buckets and sends one compressed array a bucket. Within such a chunk equal hashes meet
 first: only the least and greatest documents' entries are sent on, so a passage that a third of all documents share
-costs a bucket two entries a chunk, not one a document. The number of buckets follows the input's size, and a bucket
-is the most that a task holds. Copies of a whole text take no part: all their windows lie in the first of them.
+costs a bucket two entries a chunk, not one a document; a bucket merges what comes in the same way, so it never holds
+more than its different windows. The number of buckets, and of the partitions that they are dealt to, follows the input's
+size. Copies of a whole text take no part: all their windows lie in the first of them.
 
 Defined cases: a null or blank text has no words; fewer than WINDOW words are never removed; a null doc_id counts as
 greater than all others, and rows with equal ids never remove each other's words; repeated rows each come back; an
@@ -19,7 +20,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, documents, scratch, written
 
 WINDOW, BLOCK = 13, 7
-CHUNK_CHARS, BUCKET_ROWS, CHARS_A_WORD = 6_000_000, 1_500_000, 6
+CHUNK_CHARS, BUCKET_ROWS, MERGE_ROWS, CHARS_A_WORD = 6_000_000, 1_500_000, 3_000_000, 6
 #: A set of row keys (16 bytes each) up to this size is broadcast; beyond it rows meet by a shuffle.
 BROADCAST_KEYS = 1_000_000
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F, "other": 0xD6E8FEB86659FD93}
+_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F, "other byte": 0xA0761D6478BD642F, "other": 0xD6E8FEB86659FD93}
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -80,7 +80,7 @@ def _hash(kind: str, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return _rolling[kind](values, starts, ends)
 
 
-def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(texts: list[str | None], kind: str = "byte") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words in order, and the number of words of each text."""
     hashes, counts = [], []
     group: list[bytes] = []
@@ -90,7 +90,7 @@ def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         gap = _SPACE[raw]
         starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
         ends = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
-        hashes.append(_hash("byte", raw.astype(_U) + _U(1), starts, ends))
+        hashes.append(_hash(kind, raw.astype(_U) + _U(1), starts, ends))
         edges = np.cumsum([0, *(len(g) + 1 for g in group)])
         counts.append(np.diff(np.searchsorted(starts, edges)))
         group.clear()
@@ -130,7 +130,7 @@ def _blob(oid: np.ndarray, h1: np.ndarray, doc: np.ndarray, at: np.ndarray, mark
     planes = np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3 if not len(high) else 0 :].T)
     body = b"".join([
         np.array([len(which), len(doc), len(high)], dtype="<u4").tobytes(), np.diff(keys, prepend=0).astype("<i8").tobytes(), h1[which].astype("<i8").tobytes(),
-        n.astype("<u4").tobytes(), np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), np.packbits(marked).tobytes(), planes.tobytes(), high.astype("<u2").tobytes(),
+        n.astype("<u4").tobytes(), np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), np.packbits(marked).tobytes(), planes.tobytes(), high.astype("<u8").tobytes(),
     ])
     return len(body).to_bytes(4, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
@@ -150,7 +150,7 @@ def _unblob(data: bytes) -> dict[str, np.ndarray]:
     p += size * n
     run, first = np.cumsum(step), np.cumsum(each) - each
     at = run - np.repeat(run[first] - step[first], each) if n else run
-    return {"oid": np.repeat(keys, each), "h1": np.repeat(h1, each), "at": at, "marked": marked, "low": low.view("<u8").ravel(), "high": np.frombuffer(raw, "<u2", n if wide else 0, p).astype(np.int64)}
+    return {"oid": np.repeat(keys, each), "h1": np.repeat(h1, each), "at": at, "marked": marked, "low": low.view("<u8").ravel(), "high": np.frombuffer(raw, "<u8", n if wide else 0, p)}
 
 
 def _spans(begins: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
@@ -171,15 +171,15 @@ def _by_text(oid: np.ndarray, h1: np.ndarray, at: np.ndarray) -> Iterator[tuple[
         yield int(oid[a]), int(h1[a]), at[a:b].tobytes()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Rows of some batches together, up to about CHUNK_CHARS bytes of text."""
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[dict[str, list]]:
+    """Rows of some batches together, up to about so many bytes of text."""
     held, size = [], 0
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
             held.append(part)
             size += part.column("text").nbytes
-            if size >= CHUNK_CHARS:
+            if size >= chars:
                 yield pa.Table.from_batches(held).to_pydict()
                 held, size = [], 0
     if held:
@@ -198,39 +198,45 @@ def _dealt(oid: np.ndarray, h1: np.ndarray, buckets: int, sure: np.ndarray, sent
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _PACKED, strict=True)], schema=_PACKED)
 
 
-def _anchors(buckets: int):
+def _collapsed(order: np.ndarray, begins: np.ndarray, ids: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in order of hash: those of hashes that several texts have; those to go on, which are all others and, of such a hash,
+    one of the least and one of the greatest text, marked if any is; the marks."""
+    n, own = np.diff(np.append(begins, len(order))), ids[order]
+    least, most = np.minimum.reduceat(own, begins), np.maximum.reduceat(own, begins)
+    shared, run = np.repeat(least < most, n), np.repeat(np.arange(len(n)), n)
+    picked = []
+    for end in (least, most):
+        at = np.flatnonzero(shared & (own == end[run]))
+        picked.append(at[np.unique(run[at], return_index=True)[1]])
+    picked = np.unique(np.concatenate(picked))
+    marked = marked.copy()
+    marked[order[picked]] = np.logical_or.reduceat(marked[order], begins)[run[picked]]
+    return order[shared], order[np.concatenate([np.flatnonzero(~shared), picked])], marked
+
+
+def _anchors(buckets: int, chars: int):
     """Every rolling window of BLOCK words; marked if it is a block of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(batches):
+        for table in _chunks(batches, chars):
             words, counts = _word_hashes(table["text"])
             oid, h1 = (np.array(table[c], dtype=np.int64) for c in ("oid", "h1"))
             first, doc, at = _windows(counts, BLOCK)
             if not len(first):
                 continue
-            low, marked, ids = _hash("word", words, first, first + BLOCK), at % BLOCK == 0, oid[doc]
+            low = _hash("word", words, first, first + BLOCK)
             order = np.argsort(low, kind="stable")
-            begins = _runs(low[order])
-            n = np.diff(np.append(begins, len(order)))
-            least, most = np.minimum.reduceat(ids[order], begins), np.maximum.reduceat(ids[order], begins)
-            shared = np.repeat(least < most, n)
-            indexed = np.repeat(np.logical_or.reduceat(marked[order], begins), n)
-            # of a hash that several texts of the chunk have, one entry of the least and one of the greatest go on
-            low_end, high_end = ids[order] == np.repeat(least, n), ids[order] == np.repeat(most, n)
-            ends = [np.unique(np.repeat(np.arange(len(n)), n)[m], return_index=True)[1] for m in (shared & low_end, shared & high_end)]
-            picked = np.unique(np.concatenate([np.flatnonzero(shared & low_end)[ends[0]], np.flatnonzero(shared & high_end)[ends[1]]]))
-            marked = marked.copy()
-            marked[order[picked]] = indexed[picked]
-            yield _dealt(oid, h1, buckets, order[shared], order[np.concatenate([np.flatnonzero(~shared), picked])], doc, at, marked, low, np.zeros(0))
+            sure, sent, marked = _collapsed(order, _runs(low[order]), oid[doc], at % BLOCK == 0)
+            yield _dealt(oid, h1, buckets, sure, sent, doc, at, marked, low, np.zeros(0))
 
     return run
 
 
-def _extended(buckets: int):
+def _extended(buckets: int, chars: int):
     """The windows of WINDOW words that hold a hit; a text's hits come as arrays of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(batches):
+        for table in _chunks(batches, chars):
             words, counts = _word_hashes(table["text"])
             oid, h1 = (np.array(table[c], dtype=np.int64) for c in ("oid", "h1"))
             first, doc, at = _windows(counts, WINDOW)
@@ -245,7 +251,7 @@ def _extended(buckets: int):
             first, doc, at = first[near], doc[near], at[near]
             if not len(first):
                 continue
-            low, high = _hash("word", words, first, first + WINDOW), _hash("other", words, first, first + WINDOW) & _U(0xFFFF)
+            low, high = _hash("word", words, first, first + WINDOW), _hash("other", _word_hashes(table["text"], "other byte")[0], first, first + WINDOW)
             ids, order = oid[doc], np.lexsort((high, low))
             begins = np.union1d(_runs(low[order]), _runs(high[order]))
             least = np.repeat(np.minimum.reduceat(ids[order], begins), np.diff(np.append(begins, len(order))))
@@ -255,29 +261,39 @@ def _extended(buckets: int):
     return run
 
 
-def _judged(keys: list[np.ndarray], entries: dict[str, np.ndarray], indexed: bool) -> np.ndarray:
-    """Of a bucket's entries: with `indexed`, all of a hash that an index block shares with a later text; else those after the first text."""
+def _judged(entries: dict[str, np.ndarray], indexed: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's entries so far, those that are hits, and those that what is still to come must meet. With `indexed`, hits are all
+    of a hash that an index block shares with a later text; else those after the first text. Only the last call is exact
+    on index blocks: before, any hash of several texts counts, as extension decides."""
+    keys = [entries["high"], entries["low"]] if len(entries["high"]) else [entries["low"]]
     order = np.lexsort(keys)
     begins = np.unique(np.concatenate([_runs(k[order]) for k in keys]))
     n, oid = np.diff(np.append(begins, len(order))), entries["oid"][order]
-    if indexed:
+    if not indexed:
+        later = oid > np.repeat(np.minimum.reduceat(oid, begins), n)
+        return order[later], order[~later]
+    if last:
         least = np.minimum.reduceat(np.where(entries["marked"][order], oid, LAST), begins)
-        return order[np.repeat(least < np.maximum.reduceat(oid, begins), n)]
-    return order[oid > np.repeat(np.minimum.reduceat(oid, begins), n)]
+        return order[np.repeat(least < np.maximum.reduceat(oid, begins), n)], order[:0]
+    sure, sent, entries["marked"] = _collapsed(order, begins, entries["oid"], entries["marked"])
+    return sure, sent
 
 
-def _met(indexed: bool):
+def _met(indexed: bool, merge_rows: int):
     """Batches come sorted by part: buckets to judge, and places to hand on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blobs = None, []
-
-        def judged() -> pa.RecordBatch:
-            entries = [_unblob(b) for b in blobs]
-            entries = {c: np.concatenate([e[c] for e in entries]) for c in entries[0]}
-            at = _judged([entries["high"], entries["low"]] if len(entries["high"]) else [entries["low"]], entries, indexed)
-            rows = list(_by_text(entries["oid"][at], entries["h1"][at], entries["at"][at]))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, _PLACES, strict=True)], schema=_PLACES)
+        part, held, rows, limit = None, [], 0, merge_rows
+
+        def judged(last: bool) -> pa.RecordBatch:
+            nonlocal held, rows, limit
+            entries = {c: np.concatenate([e[c] for e in held]) for c in held[0]}
+            hits, left = _judged(entries, indexed, last)
+            found = list(_by_text(entries["oid"][hits], entries["h1"][hits], entries["at"][hits]))
+            held = [] if last else [{c: v[left] if len(v) else v for c, v in entries.items()}]
+            rows = 0 if last else len(left)
+            limit = max(merge_rows, 2 * rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 3, _PLACES, strict=True)], schema=_PLACES)
 
         for batch in batches:
             known = batch.filter(pa.compute.is_valid(batch.column("places")))
@@ -286,36 +302,43 @@ def _met(indexed: bool):
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
                 if blob is None:
                     continue
-                if p != part and blobs:
-                    yield judged()
-                    blobs = []
+                if p != part and held:
+                    yield judged(True)
                 part = p
-                blobs.append(blob)
-        if blobs:
-            yield judged()
+                held.append(_unblob(blob))
+                rows += len(held[-1]["oid"])
+                if rows >= limit:
+                    yield judged(False)
+        if held:
+            yield judged(True)
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_KEPT = pa.schema([
+    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))),
+])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, digests = [], [], []
-        for text, copy, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "starts")), strict=True):
-            ws = (text or "").encode().split()
+        rows = []
+        for doc, text, copy, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy", "starts")), strict=True):
+            ws, spans, kept = (text or "").encode().split(), [], None
             if copy and len(ws) >= WINDOW:
-                kept = []
+                kept, spans = [], [(0, len(ws))]
             elif starts:
-                cover = np.zeros(len(ws) + 1, dtype=np.int64)
+                cover = np.zeros(len(ws) + 2, dtype=np.int64)
                 places = np.unique(np.frombuffer(b"".join(starts), dtype="<u4")).astype(np.int64)
-                cover[places] += 1
-                cover[places + WINDOW] -= 1
-                kept = [w for w, c in zip(ws, np.cumsum(cover).tolist(), strict=False) if not c]
-            else:
-                kept = ws
-            n_words.append(len(ws))
-            n_removed.append(len(ws) - len(kept))
-            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                cover[places + 1] += 1
+                cover[places + WINDOW + 1] -= 1
+                gone = np.cumsum(cover)[:-1] > 0  # one place later, so an edge is seen on both sides
+                edges = np.flatnonzero(np.diff(np.append(gone, False)))
+                spans = [(a, b - a) for a, b in edges.reshape(-1, 2).tolist()]
+                kept = [w for w, g in zip(ws, gone[1:].tolist(), strict=True) if not g]
+            kept = ws if kept is None else kept
+            rows.append((doc, len(ws), len(ws) - len(kept), b" ".join(kept).decode(), [{"first": a, "words": n} for a, n in spans]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _KEPT, strict=True)], schema=_KEPT)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -325,9 +348,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"oid": F.coalesce("doc_id", F.lit(int(LAST))), "h1": F.xxhash64("text") if twice else F.lit(0).cast("long")})
 
 
-def _meet(rows: DataFrame, packed, indexed: bool) -> DataFrame:
-    sent = rows.mapInArrow(packed, PACKED).repartition("part").sortWithinPartitions("part")
-    return sent.mapInArrow(_met(indexed), PLACES)
+def _meet(rows: DataFrame, packed, indexed: bool, buckets: int) -> DataFrame:
+    sent = rows.mapInArrow(packed, PACKED).repartition(buckets, "part").sortWithinPartitions("part")
+    return sent.mapInArrow(_met(indexed, MERGE_ROWS), PLACES)
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -340,15 +363,16 @@ def covered_windows(rows: DataFrame, folder: str) -> DataFrame:
     arrow_batches(rows.sparkSession)
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     buckets = max(64, -(-chars // CHARS_A_WORD // BUCKET_ROWS))
-    hits = _meet(rows.select("oid", "h1", "text"), _anchors(buckets), True)
+    hits = _meet(rows.select("oid", "h1", "text"), _anchors(buckets, CHUNK_CHARS), True, buckets)
     hits = written(hits.groupBy("oid", "h1").agg(F.collect_list("places").alias("hits")), folder, "hits")
     hit = rows.select("oid", "h1", "text").join(_small(hits.select("oid", "h1")), ["oid", "h1"], "left_semi")
-    found = _meet(hit.join(hits, ["oid", "h1"]).select("oid", "h1", "text", "hits"), _extended(buckets), False)
+    found = _meet(hit.join(hits, ["oid", "h1"]).select("oid", "h1", "text", "hits"), _extended(buckets, CHUNK_CHARS), False, buckets)
     return written(found.groupBy("oid", "h1").agg(F.collect_list("places").alias("starts")), folder, "starts")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """Of every row: doc_id, n_words, n_removed, `kept`, the words that stay, joined by one space, and `removed`, the runs of words that
+    go (first, words)."""
     folder = scratch(docs.sparkSession)
     rows = _keyed(docs)
     # distinct comes before the join, so that a large group of copies can be split there
@@ -358,7 +382,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copies = _small(copies)
     starts = covered_windows(rows.join(copies, ["oid", "h1"], "left_anti"), folder)
     joined = rows.join(copies, ["oid", "h1"], "left").join(starts, ["oid", "h1"], "left")
-    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:bigint,words:bigint>>")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+    return kept_texts(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_block_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
