@@ -197,8 +197,8 @@ def _removed(docs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk", [6_000_000, 2000])
-def test_repeats(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,merge", [(6_000_000, 3_000_000), (2000, 3_000_000), (1500, 10)])
+def test_repeats(spark, monkeypatch, chunk, merge):
     rng = random.Random(5)
     pool = [[f"p{rng.randint(0, 50)}" for _ in range(n)] for n in (12, 13, 14, 30, 60)]
     docs = []
@@ -211,12 +211,20 @@ def test_repeats(spark, monkeypatch, chunk):
     docs += [(k, "again and " * 30) for k in (130, 131, 140)] + [(200, docs[3][1]), (201, docs[3][1]), (201, docs[3][1]), (201, docs[4][1]), (None, docs[5][1]), (None, docs[6][1] + " more"), (300, None), (301, ""), (302, " ".join(pool[1]))]
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], SCHEMA).repartition(3)
     monkeypatch.setattr(repeats, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(repeats, "MERGE_ROWS", merge)
     assert sorted(map(tuple, repeats.without_repeats(df).collect()), key=repr) == _removed(docs)
     some = docs[:120]
     unique = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in some], SCHEMA).repartition(3)
     assert sorted(map(tuple, repeats.without_repeats(unique).collect()), key=repr) == _removed(some)
 
 
+def test_kept_texts_and_removed_runs(spark):
+    shared = " ".join(f"s{k}" for k in range(15))
+    texts = [f"a b {shared} c", f"d  {shared}\ne f {shared}", f"d  {shared}\ne f {shared}", "short", None]
+    got = {r["doc_id"]: (r["kept"], [tuple(x) for x in r["removed"]]) for r in repeats.kept_texts(table(spark, texts)).collect()}
+    assert got == {0: (f"a b {shared} c", []), 1: ("d e f", [(1, 15), (18, 15)]), 2: ("", [(0, 33)]), 3: ("short", []), 4: ("", [])}
+
+
 def test_rollups(spark):
     folder = scratch(spark)
     store = rollups.RollupStore(spark, folder)
