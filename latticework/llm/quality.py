@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, documents, scratch, small, whole, words, written
 
-COMMON, SALTS = 24, 32
+COMMON, SALTS, SET_LANGUAGES = 24, 32, 256
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.30
 MIN_TOKENS, MAX_WORD_DISTANCE = 80, 0.33
 MIN_DOCS, WEIGHT = 20, 1_000_000_000
@@ -104,7 +104,7 @@ def references(docs: DataFrame, folder: str) -> tuple[DataFrame, list[float]]:
 
 def repeats_in_order(hashes: Column) -> Column:
     """The windows' hashes with their places, in order; null if no hash occurs twice."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), ordered)
 
 
@@ -114,7 +114,7 @@ def repeated_words(ordered: Column) -> Column:
     rest = F.size(ordered) - 1
     beside = F.arrays_zip(ordered.alias("own"), F.concat(none, F.slice(ordered, 1, rest)).alias("before"), F.concat(F.slice(ordered, 2, rest), none).alias("after"))
     twice = F.filter(beside, lambda t: (t["own"]["h"].eqNullSafe(t["before"]["h"])) | (t["own"]["h"].eqNullSafe(t["after"]["h"])))
-    places = F.array_sort(F.transform(twice, lambda t: t["own"]["i"]))
+    places = F.sort_array(F.transform(twice, lambda t: t["own"]["i"]))
     start = F.struct(F.lit(-WINDOW).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW).cast("long"), p - a["last"])).alias("n")), lambda a: a["n"])
     return F.coalesce(covered, F.lit(0).cast("long"))
@@ -128,7 +128,10 @@ def judge(docs: DataFrame, refs: DataFrame, general: list[float]) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     n = F.size(ws)
     df = _with_classes(df, "_t").withColumns({"_w": words(text), "_k": _tokens(text), "_l": lines, "_n": F.char_length(text)})
-    df = df.withColumns({"_common": F.filter("_k", lambda w: F.array_contains("ref_words", w)), "_h1": F.transform(ws, lambda w: F.xxhash64(w))})
+    # a literal set is looked up by hash, an array from end to end: with few languages only words that some reference has are compared
+    told = {w for r in refs.select("ref_words").collect() for w in r[0] or []} if refs.count() <= SET_LANGUAGES else None
+    common = F.col("_k") if told is None else F.filter("_k", lambda w: w.isin(sorted(told))) if told else F.array().cast("array<string>")
+    df = df.withColumns({"_common": common, "_h1": F.transform(ws, lambda w: F.xxhash64(w))})
     # hashes of 2, 4 and 8 words, each of two halves; a text of fewer words has none
     for k, (short, long) in zip((1, 2, 4), (("_h1", "_h2"), ("_h2", "_h4"), ("_h4", "_h8")), strict=True):
         m = F.size(short) - k
