@@ -72,6 +72,7 @@ def test_every_language_has_its_own_reference(spark):
     spoken = {f"l{k}": " ".join("".join(rng.choices("klmnopqrstuvwxyz", k=3)) for _ in range(20)) for k in range(300)}
     rows = [(100 * k + j, prose(rng, 100, common), lang, "s", 0) for k, (lang, common) in enumerate(spoken.items()) for j in range(quality.MIN_DOCS)]
     rows.append((50, prose(rng, 100, spoken["l7"]), "l299", "s", 0))
+    assert len(spoken) > quality.SET_LANGUAGES
     kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not kept.pop(50) and all(kept.values())
 
