@@ -104,12 +104,10 @@ def _pack_documents(tokenizer: str, capacity: int, max_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, ids = encoder(tokenizer), BestFit(capacity, max_open), _numbers(0)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(docs), 500):
-                for doc, body in zip(docs[k : k + 500], enc.ids(texts[k : k + 500].to_pylist()), strict=True):
-                    all_ids = np.concatenate([body, END])
-                    for piece, (start, length) in enumerate(cut(len(all_ids), capacity)):
-                        packer.add(length, [(doc, piece, start, length, crc(all_ids[start : start + length]))])
+            for doc, body in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1)), strict=True):
+                all_ids = np.concatenate([body, END])
+                for piece, (start, length) in enumerate(cut(len(all_ids), capacity)):
+                    packer.add(length, [(doc, piece, start, length, crc(all_ids[start : start + length]))])
             if packer.done:
                 yield _batch(packer.done, True, ids)
                 packer.done = []

@@ -168,9 +168,7 @@ def counted(docs: DataFrame, tokenizer: str | None = None, version: str = "byte_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts, n = batch.column("text"), []
-            for k in range(0, batch.num_rows, 500):
-                n += [len(x) for x in enc.ids(texts[k : k + 500].to_pylist())]
+            n = [len(x) for x in enc.ids(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "n_spaced")), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "n_spaced", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")))

@@ -209,10 +209,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, tokeniz
                 fs.create_dir(base, recursive=True)
                 path = f"{base}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.lwt"
                 writer = TokenFileWriter(fs.open_output_stream(path))
-            table = batch.to_pydict()
-            for k in range(0, batch.num_rows, 500):
-                ids = enc.ids(table["text"][k : k + 500])
-                writer.add([(d, np.concatenate([x, END])) for d, x in zip(table["doc_id"][k : k + 500], ids, strict=True)])
+            docs, ids = batch.column("doc_id").to_pylist(), enc.ids(batch.column("text"))
+            writer.add([(d, np.concatenate([x, END])) for d, x in zip(docs, ids, strict=True)])
         if writer is not None:
             writer.close()
             row = {"part": TaskContext.get().partitionId(), "file": path.rpartition("/")[2], "n_docs": len(writer.docs), "n_tokens": writer.n_tokens}
