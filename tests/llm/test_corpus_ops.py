@@ -32,6 +32,13 @@ def test_chunks_encode_as_the_whole(text):
     assert e.ids([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\xa0\u2009'.,!aZéßŁ×÷ñ9_\u0301’漢"), max_size=12), max_size=8), st.sampled_from([1, 7, 6_000_000]))
+def test_batches_encode_as_their_texts(texts, size):
+    e = encoding.encoder(encoding.default_tokenizer())
+    assert [x.tolist() for x in e.ids(texts, size)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_forgets_and_knows_special_tokens(enc):
     texts = [f"word{k} other{k % 7}, it's <|endoftext|> end" if k % 5 == 0 else f"word{k} other{k % 7}, it's" for k in range(300)] + [None, "", "y" * 500]
     for k in range(0, len(texts), 40):
