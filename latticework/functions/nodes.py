@@ -82,19 +82,24 @@ def validated(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("missing_fields", missing).withColumn("valid", F.size("missing_fields") == 0)
 
 
-def to_triples(nodes: DataFrame, known: dict[str, str] | None = None, source: str | None = None) -> TripleGraph:
-    """Nodes melted to triples in one pass; null keys give none, compact names become IRIs."""
+def to_triples(nodes: DataFrame, known: dict[str, str] | None = None, source: str | None = None, unique: bool = False) -> TripleGraph:
+    """Nodes melted to triples in one pass; null keys give none, compact names become IRIs. If each id occurs once (unique), the
+    triples are a set as they come, and no shuffle has to make them one."""
     known = PREFIXES if known is None else known
 
     def entry(p: str, o: Column, kind: str) -> Column:
         return F.struct(F.lit(expand(p) if p != RDF_TYPE else p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
 
     def entries(p: str, os: Column) -> Column:
-        return F.transform(F.coalesce(os, F.array().cast("array<string>")), lambda o: entry(p, expanded(o, known), "iri"))
+        return F.transform(F.array_distinct(F.array_compact(F.coalesce(os, F.array().cast("array<string>")))), lambda o: entry(p, expanded(o, known), "iri"))
 
     kinds = dict(nodes.dtypes)
     parts = [entries(RDF_TYPE, F.col("types"))]
     parts += [F.array(entry(p, F.col(c), "literal")) for c, p in LITERALS.items() if c in kinds]
     parts += [entries(p, F.col(c) if kinds[c].startswith("array") else F.array(c)) for c, p in LINKS.items() if c in kinds]
     melted = nodes.select(expanded(F.col("id"), known).alias("s"), F.inline(F.concat(*parts)))
-    return TripleGraph.of(melted.withColumn("source", F.lit(source)))
+    melted = melted.withColumn("source", F.lit(source))
+    if not unique:
+        return TripleGraph.of(melted)
+    tags = [F.lit(None).cast("string").alias(c) for c in ("o_datatype", "o_lang")]
+    return TripleGraph(melted.where("s IS NOT NULL AND o IS NOT NULL").select("s", "p", "o", "o_kind", *tags, "source"))

@@ -141,13 +141,17 @@ def jurisdiction_ratio(summary: DataFrame, one: str, other: str) -> DataFrame:
 def role_concentration(g: TripleGraph) -> DataFrame:
     """role, role_name, element_count, rank and share of all elements. Roles without elements drop out.
 
-    Shares divide by a total that is aggregated apart, not by a window over all rows; only ranks need the order.
+    No task orders all roles: how many are larger is summed over the distinct counts, and only roles of one count are ordered
+    among themselves. Shares divide by a total that is aggregated apart.
     """
     counts = role_element_bindings(g).groupBy("role").agg(F.count("*").alias("element_count"))
     roles = role_bindings(g).select("role", "role_name").join(counts, "role")
     total = counts.join(role_bindings(g).select("role").distinct(), "role", "left_semi").agg(F.sum("element_count").alias("total"))
-    ranked = roles.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("element_count"), "role", "role_name")).cast("long"))
-    return ranked.crossJoin(total).withColumn("share", F.col("element_count") / F.col("total")).drop("total")
+    sizes = roles.groupBy("element_count").agg(F.count("*").alias("n"))
+    larger = sizes.select("element_count", (F.sum("n").over(Window.orderBy(F.desc("element_count"))) - F.col("n")).alias("larger"))
+    among = F.row_number().over(Window.partitionBy("element_count").orderBy("role", "role_name"))
+    ranked = roles.withColumn("among", among).join(larger, "element_count").withColumn("rank", (F.col("larger") + F.col("among")).cast("long"))
+    return ranked.crossJoin(total).select("role", "role_name", "element_count", "rank", (F.col("element_count") / F.col("total")).alias("share"))
 
 
 def top_share(concentration: DataFrame, k: int = 5) -> DataFrame:

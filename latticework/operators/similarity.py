@@ -46,6 +46,25 @@ def indexed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return shared.select("left_id", "right_id", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
+def best_matches(left: DataFrame, right: DataFrame, k: int = 3, block: int = 512) -> DataFrame:
+    """top_matches() of the pairs of indexed_pairs(), without making them: the right side is a stated set of units, taken in
+    blocks of so many, and a left row meets a block at once and hands on its k best. Tokens are compared by 64-bit hashes."""
+    def hashed(tokens: str) -> Column:
+        return F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))
+
+    rights = right.select("right_id", hashed("right_tokens").alias("b")).where(F.size("b") > 0)
+    n_blocks = F.lit(-(-rights.count() // block) or 1)
+    blocks = rights.groupBy(F.pmod(F.xxhash64("right_id"), n_blocks).alias("block")).agg(F.collect_list(F.struct("right_id", "b")).alias("rights"))
+    met = left.select("left_id", hashed("left_tokens").alias("a")).where(F.size("a") > 0).crossJoin(blocks.select("rights"))
+
+    def scored(r: Column) -> Column:
+        both = F.size(F.array_intersect("a", r["b"]))
+        return F.struct((-(both / (F.size("a") + F.size(r["b"]) - both))).alias("less"), r["right_id"].alias("right_id"))
+
+    best = F.slice(F.sort_array(F.filter(F.transform("rights", scored), lambda x: x["less"] < 0)), 1, k)
+    return top_matches(met.select("left_id", F.inline(best)).select("left_id", "right_id", (-F.col("less")).alias("similarity")), k)
+
+
 def top_matches(pairs: DataFrame, k: int = 3) -> DataFrame:
     """The k best of each left_id with their rank; equal ones in order of right_id."""
     order = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")

@@ -41,7 +41,9 @@ def _kind(column: str, known: dict[str, str]) -> Column:
 
 
 def _first(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key])
+    """The first row of each key, in the order of the source."""
+    rows = df.where(F.col(key).isNotNull()).withColumn("_at", F.monotonically_increasing_id())
+    return rows.groupBy(key).agg(F.min_by(F.struct(*df.columns), "_at").alias("_row")).select("_row.*")
 
 
 def _nice_units(t: Tables) -> DataFrame:

@@ -59,27 +59,27 @@ _on_graph("q16_examples", analyses.examples_per_framework, "SELECT framework_nam
 _on_graph("by_specificity", analyses.by_specificity, "SELECT specificity, count(*) AS element_count FROM element LEFT JOIN meta USING (framework) GROUP BY 1")
 _on_graph(
     "density",
-    lambda g: analyses.density(g).withColumn("elements_per_unit", F.col("element_count") / F.col("top_level_unit_count")),
-    "SELECT framework_name, u AS top_level_unit_count, n AS element_count, n / u AS elements_per_unit FROM (SELECT framework_name, count(*) AS u FROM unit GROUP BY 1) JOIN (SELECT framework_name, count(*) AS n FROM element GROUP BY 1) USING (framework_name)",
+    analyses.density,
+    "SELECT framework_name, u AS top_level_unit_count, n AS element_count, round_even(n / u, 1) AS elements_per_unit FROM (SELECT framework_name, count(*) AS u FROM unit GROUP BY 1) JOIN (SELECT framework_name, count(*) AS n FROM element GROUP BY 1) USING (framework_name)",
 )
 _on_graph(
     "pairwise_compare",
     lambda g: analyses.pairwise(g, ["EUROPE", "AMERICA"]),
     "SELECT framework_name, count(*) AS organizing_unit_count, avg(element_count) AS mean_elements, median(element_count) AS median_elements, max(element_count) AS max_elements FROM sized WHERE framework_name IN ('EUROPE', 'AMERICA') GROUP BY 1",
 )
-_on_graph("elements_without_text", analyses.elements_without_text, "SELECT s AS element FROM t WHERE p = 'a' AND o = 'RoleElement' AND s NOT IN (SELECT s FROM t WHERE p = 'elementText')")
-_on_graph("top_level_elements", lambda g: g.subjects("a", "core:RoleElement").join(g.pairs("core:elaborates").select("s"), "s", "left_anti"), "SELECT s FROM t WHERE p = 'a' AND o = 'RoleElement' AND s NOT IN (SELECT s FROM t WHERE p = 'elaborates')")
+_on_graph("elements_without_text", analyses.elements_without_text, "SELECT x.s AS element FROM t x ANTI JOIN (SELECT s FROM t WHERE p = 'elementText') y ON y.s = x.s WHERE x.p = 'a' AND x.o = 'RoleElement'")
+_on_graph("top_level_elements", lambda g: g.subjects("a", "core:RoleElement").join(g.pairs("core:elaborates").select("s"), "s", "left_anti"), "SELECT x.s FROM t x ANTI JOIN (SELECT s FROM t WHERE p = 'elaborates') y ON y.s = x.s WHERE x.p = 'a' AND x.o = 'RoleElement'")
 
 _SUMMARY = """, summary AS (SELECT replace(framework, 'http://testbed.example/framework/', '') AS framework_slug, name AS framework_name, 'regional' AS framework_type, jurisdiction,
- u AS organizing_unit_count, n AS element_count_strict, n + coalesce(x, 0) AS element_count_with_examples, coalesce(x, 0) AS example_count, 'open' AS license
+ u AS organizing_unit_count, n AS element_count_strict, n + coalesce(x, 0) AS element_count_with_examples, coalesce(x, 0) AS example_count,
+ round_even(n / u, 1) AS elements_per_organizing_unit_strict, round_even((n + coalesce(x, 0)) / u, 1) AS elements_per_organizing_unit_with_examples, 'open' AS license
  FROM meta JOIN (SELECT framework, count(*) AS u FROM unit GROUP BY 1) USING (framework) JOIN (SELECT framework, count(*) AS n FROM strict GROUP BY 1) USING (framework)
  LEFT JOIN (SELECT framework, count(*) AS x FROM example GROUP BY 1) USING (framework))"""
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     display = table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS framework_slug", "'regional' AS framework_type", "'open' AS license")
-    found = analyses.framework_summary(testbed.graph(spark, sf_dir), display)
-    return found.drop("elements_per_organizing_unit_strict", "elements_per_organizing_unit_with_examples")
+    return analyses.framework_summary(testbed.graph(spark, sf_dir), display)
 
 
 _add("framework_summary", _summary, f"WITH {testbed.CTES}{_SUMMARY} SELECT * FROM summary")
@@ -143,7 +143,7 @@ _add("validate_nodes", lambda s, d: nodes.validated(_expanded(s, d)[0].withColum
 _NICE = "https://nice.nist.gov/framework/terms#"
 _add(
     "nodes_to_triples",
-    lambda s, d: nodes.to_triples(_expanded(s, d)[0]).triples.groupBy("o_kind", F.regexp_extract("p", "([^#/]+)$", 1).alias("p")).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects")),
+    lambda s, d: nodes.to_triples(_expanded(s, d)[0], unique=True).triples.groupBy("o_kind", F.regexp_extract("p", "([^#/]+)$", 1).alias("p")).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects")),
     f"""{_PARSED}, tr AS (SELECT id AS s, unnest(['elementText', 'partOf', 'type', 'type']) AS p, unnest(['literal', 'iri', 'iri', 'iri']) AS o_kind FROM x
 UNION ALL SELECT parent_id || node_type || ordinal, unnest(['elementText', 'partOf', 'type', 'type']), unnest(['literal', 'iri', 'iri', 'iri']) FROM frag
 UNION ALL SELECT parent_id || node_type || ordinal, unnest(['elaborates', 'type']), 'iri' FROM frag WHERE node_type = 'Subpoint'
@@ -155,10 +155,13 @@ SELECT o_kind, p, count(*) AS n, count(DISTINCT s) AS subjects FROM tr GROUP BY
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ntriples.lines_of(testbed.graph(spark, sf_dir))
     back = TripleGraph.of(ntriples.parse(lines)[0])
-    return back.triples.groupBy(F.regexp_extract("p", "([^#/]+)$", 1).alias("p"), "o_kind").agg(F.count("*").alias("n"))
+    short = back.triples.withColumn("p", F.regexp_extract("p", "([^#/]+)$", 1))
+    short = short.withColumn("line", F.concat_ws(" ", "s", F.when(F.col("p") == "type", F.regexp_extract("o", "([^#/]+)$", 1)).otherwise(F.col("o"))))
+    digest = F.sum(F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 8), 16, 10).cast("long"))
+    return short.groupBy("p", "o_kind").agg(F.count("*").alias("n"), digest.alias("digest"))
 
 
-_add("ntriples_roundtrip", _round_trip, sql("SELECT CASE p WHEN 'a' THEN 'type' ELSE p END AS p, CASE WHEN p IN ('name', 'jurisdiction', 'sector', 'specificity', 'elementText') THEN 'literal' ELSE 'iri' END AS o_kind, count(*) AS n FROM t WHERE o IS NOT NULL GROUP BY 1, 2"))
+_add("ntriples_roundtrip", _round_trip, sql("SELECT CASE p WHEN 'a' THEN 'type' ELSE p END AS p, CASE WHEN p IN ('name', 'jurisdiction', 'sector', 'specificity', 'elementText') THEN 'literal' ELSE 'iri' END AS o_kind, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(s || ' ' || o), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM t WHERE o IS NOT NULL GROUP BY 1, 2"))
 
 # Similarity: documents against the benchmark's items
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -169,14 +172,10 @@ pairs AS (SELECT left_id, right_id, count(*) / (any_value(na) + any_value(nb) -
 ranked AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS rank FROM pairs)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("left_id"), text.tokens(F.col("text")).alias("left_tokens"))
     right = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("right_id"), text.tokens(F.col("text")).alias("right_tokens"))
-    return similarity.indexed_pairs(left, right)
-
-
-def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return similarity.top_matches(_pairs(spark, sf_dir), k).withColumn("rank", F.col("rank").cast("long"))
+    return similarity.best_matches(left, right, k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _rights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,10 +202,11 @@ _add("best_match_frequency", lambda s, d: similarity.best_match_frequency(_ranke
 # Integrity
 _add(
     "text_integrity",
-    lambda s, d: verify.text_checks(table(s, d, "documents"), "documents", "text").where("check <> 'text.truncation'").select("check", "severity", F.element_at("details", "n").cast("long").alias("n")),
+    lambda s, d: verify.text_checks(table(s, d, "documents"), "documents", "text").select("check", "severity", F.element_at("details", "n").cast("long").alias("n")),
     """WITH c AS (SELECT count(*) FILTER (contains(text, chr(65533))) AS replaced, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, count(*) FILTER (trim(text) <> '' AND length(text) < 10) AS short, count(*) FILTER (length(text) > 5000) AS long FROM documents)
 SELECT 'text.replaced' AS "check", CASE WHEN replaced > 0 THEN 'hard' ELSE 'pass' END AS severity, replaced AS n FROM c UNION ALL SELECT 'text.empty', CASE WHEN empty > 0 THEN 'hard' ELSE 'pass' END, empty FROM c
-UNION ALL SELECT 'text.short', CASE WHEN short > 0 THEN 'soft' ELSE 'pass' END, short FROM c UNION ALL SELECT 'text.long', CASE WHEN long > 0 THEN 'soft' ELSE 'pass' END, long FROM c""",
+UNION ALL SELECT 'text.short', CASE WHEN short > 0 THEN 'soft' ELSE 'pass' END, short FROM c UNION ALL SELECT 'text.long', CASE WHEN long > 0 THEN 'soft' ELSE 'pass' END, long FROM c
+UNION ALL SELECT 'text.truncation', CASE WHEN length IN (255, 256, 1000, 1024, 4000, 4096) AND n > 5 THEN 'hard' ELSE 'pass' END, n FROM (SELECT length(text) AS length, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 ORDER BY n DESC, length LIMIT 1)""",
 )
 _add("length_mode", lambda s, d: verify.modal_length(table(s, d, "documents"), "text").select(F.col("length").cast("long").alias("length"), "n"), "SELECT length(text) AS length, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 ORDER BY n DESC, length LIMIT 1")
 _add("duplicate_ids", lambda s, d: verify.id_checks(table(s, d, "lineitem"), "lineitem", "l_partkey").select("severity", F.element_at("details", "examples").alias("examples")), "WITH g AS (SELECT CAST(l_partkey AS VARCHAR) AS k, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT CASE WHEN sum(n - 1) > 0 THEN 'hard' ELSE 'pass' END AS severity, (SELECT string_agg(k, ', ' ORDER BY k) FROM (SELECT k FROM g ORDER BY l_partkey LIMIT 5)) AS examples FROM g")

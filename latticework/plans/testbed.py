@@ -99,7 +99,7 @@ CTES = f"""
 located AS (SELECT c_custkey, c_name, n_nationkey, '{BASE}framework/r' || n_regionkey AS r, '{BASE}unit/n' || n_nationkey AS u, '{BASE}element/c' || c_custkey AS e
             FROM customer JOIN nation ON c_nationkey = n_nationkey),
 ordered AS (SELECT o_orderkey, o_orderstatus, located.* FROM orders JOIN located ON o_custkey = c_custkey),
-t AS (
+t AS MATERIALIZED (
   SELECT '{BASE}framework/r' || r_regionkey AS s, 'a' AS p, 'Framework' AS o FROM region
   UNION ALL SELECT '{BASE}framework/r' || r_regionkey, 'name', r_name FROM region
   UNION ALL SELECT '{BASE}framework/r' || r_regionkey, 'jurisdiction', {_case("r_regionkey", JURISDICTION)} FROM region
@@ -124,17 +124,17 @@ t AS (
   UNION ALL SELECT '{BASE}element/o' || o_orderkey, 'a', 'RoleElement' FROM ordered WHERE o_orderstatus NOT IN ('F', 'O')),
 fw AS (SELECT s AS framework FROM t WHERE p = 'a' AND o = 'Framework'),
 nm AS (SELECT s, o AS name FROM t WHERE p = 'name'),
-po AS (SELECT s, o AS framework FROM t WHERE p = 'partOf' AND o IN (SELECT framework FROM fw)),
+po AS MATERIALIZED (SELECT s, o AS framework FROM t SEMI JOIN fw ON fw.framework = t.o WHERE p = 'partOf'),
 meta AS (SELECT framework, nm.name, j.o AS jurisdiction, k.o AS sector, c.o AS specificity FROM fw LEFT JOIN nm ON nm.s = framework
          LEFT JOIN t j ON j.s = framework AND j.p = 'jurisdiction' LEFT JOIN t k ON k.s = framework AND k.p = 'sector' LEFT JOIN t c ON c.s = framework AND c.p = 'specificity'),
 unit AS (SELECT x.s AS unit, po.framework, un.name AS unit_name, fn.name AS framework_name FROM t x JOIN po ON po.s = x.s LEFT JOIN nm un ON un.s = x.s LEFT JOIN nm fn ON fn.s = po.framework
          WHERE x.p = 'a' AND x.o = 'OrganizingUnit'),
 role AS (SELECT x.s AS role, po.framework, un.name AS role_name, fn.name AS framework_name FROM t x JOIN po ON po.s = x.s LEFT JOIN nm un ON un.s = x.s LEFT JOIN nm fn ON fn.s = po.framework
          WHERE x.p = 'a' AND x.o = 'Role'),
-element AS (SELECT x.s AS element, po.framework, fn.name AS framework_name FROM t x JOIN po ON po.s = x.s LEFT JOIN nm fn ON fn.s = po.framework WHERE x.p = 'a' AND x.o = 'RoleElement'),
-example AS (SELECT x.s AS example, po.framework, fn.name AS framework_name FROM t x JOIN po ON po.s = x.s LEFT JOIN nm fn ON fn.s = po.framework WHERE x.p = 'a' AND x.o = 'Example'),
+element AS MATERIALIZED (SELECT x.s AS element, po.framework, fn.name AS framework_name FROM t x JOIN po ON po.s = x.s LEFT JOIN nm fn ON fn.s = po.framework WHERE x.p = 'a' AND x.o = 'RoleElement'),
+example AS MATERIALIZED (SELECT x.s AS example, po.framework, fn.name AS framework_name FROM t x JOIN po ON po.s = x.s LEFT JOIN nm fn ON fn.s = po.framework WHERE x.p = 'a' AND x.o = 'Example'),
 he AS (SELECT s AS role, o AS element FROM t WHERE p = 'hasElement'),
-strict AS (SELECT * FROM element WHERE element NOT IN (SELECT example FROM example)),
+strict AS (SELECT element.* FROM element ANTI JOIN example ON example.example = element.element),
 sized AS (SELECT unit.*, n AS element_count FROM unit LEFT JOIN (SELECT role, count(*) AS n FROM he GROUP BY role) ON role = unit)"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..graph import TripleGraph
 from .files import require
 
-_IRI, _BLANK = r"<([^>\s]*)>", r"(_:[A-Za-z0-9][\w.-]*)"
+_IRI, _BLANK = r"<([^>\x00-\x20]*)>", r"(_:[A-Za-z0-9][\w.-]*)"
 _LITERAL = r'"((?:[^"\\]|\\.)*+)"(?:\^\^<([^>\s]*)>|@([A-Za-z0-9-]+))?'
 LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 
@@ -33,25 +33,32 @@ def _escaped(text: Column) -> Column:
     return text
 
 
+#: A line's groups, the literal last: it alone can hold the separator.
+_ORDER, _SEP = (1, 2, 3, 4, 5, 7, 8, 6), "\x01"
+
+
 def parse(lines: DataFrame, source: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Triples and the lines that aren't one. lines: (value). Blank labels are prefixed with the source, so files don't share them."""
+    """Triples and the lines that aren't one. lines: (value). Blank labels are prefixed with the source, so files don't share them.
+
+    A line is matched once: the match is replaced by its groups, which are then split. A line that stays as it was is bad."""
     source = F.lit(None).cast("string") if source is None else source
     rows = lines.withColumn("_source", source).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    rows = rows.withColumn("_groups", F.regexp_replace("value", LINE, _SEP + _SEP.join(f"${k}" for k in _ORDER)))
+    good = rows.where(F.col("_groups") != F.col("value")).withColumn("_parts", F.split("_groups", _SEP, 1 + len(_ORDER)))
 
     def part(k: int) -> Column:
-        return F.regexp_extract("value", LINE, k)
+        return F.get("_parts", F.lit(1 + _ORDER.index(k)))
 
     def blank(label: Column) -> Column:
         return F.when(F.col("_source").isNull(), label).otherwise(F.concat(F.lit("_:"), F.hex(F.xxhash64("_source")), F.lit("."), F.substr(label, F.lit(3))))
 
-    good = rows.where(F.col("value").rlike(LINE))
     kind = F.when(part(4) != "", "iri").when(part(5) != "", "bnode").otherwise("literal")
     triples = good.select(
         F.when(part(1) != "", part(1)).otherwise(blank(part(2))).alias("s"), part(3).alias("p"),
-        F.when(kind == "iri", part(4)).when(kind == "bnode", blank(part(5))).otherwise(_unescaped(part(6))).alias("o"),
+        F.when(kind == "iri", part(4)).when(kind == "bnode", blank(part(5))).when(F.contains(part(6), F.lit("\\")), _unescaped(part(6))).otherwise(part(6)).alias("o"),
         kind.alias("o_kind"), F.nullif(part(7), F.lit("")).alias("o_datatype"), F.nullif(part(8), F.lit("")).alias("o_lang"), F.col("_source").alias("source"),
     )
-    return triples, rows.where(~F.col("value").rlike(LINE)).select("value", F.col("_source").alias("source"))
+    return triples, rows.where(F.col("_groups") == F.col("value")).select("value", F.col("_source").alias("source"))
 
 
 def read(spark: SparkSession, path: str = "data/processed/ntriples/_combined.nt") -> TripleGraph:

@@ -18,12 +18,13 @@ def triple_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def append(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
     """Append what is there to the stored graph, then stop. Each file is read once; a triple that the store has, or that
-    comes twice, is stored once. A batch that is run again after a failure finds its triples there and adds none."""
+    comes twice, is stored once. Of the store only the partitions of the batch's predicates are read. A batch that is run again after a failure finds its triples there and adds none."""
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.withColumns({c: F.coalesce(c, F.lit("")) for c in ("o_datatype", "o_lang")}).dropDuplicates(TRIPLE_KEY)
         try:
-            known = spark.read.schema(batch.schema).parquet(store).withColumns({c: F.coalesce(c, F.lit("")) for c in ("o_datatype", "o_lang")})
+            predicates = [r[0] for r in new.select("p").distinct().collect()]  # the vocabulary's, tens
+            known = spark.read.schema(batch.schema).parquet(store).where(F.col("p").isin(predicates)).withColumns({c: F.coalesce(c, F.lit("")) for c in ("o_datatype", "o_lang")})
             new = new.join(known.select(*TRIPLE_KEY), TRIPLE_KEY, "left_anti")
         except Exception as error:  # noqa: BLE001  the store isn't there before the first batch
             if "PATH_NOT_FOUND" not in str(error):
