@@ -104,6 +104,12 @@ def tier_counts(alignment: DataFrame) -> DataFrame:
     return names.orderBy("place").drop("place")
 
 
+def token_stats(sides: DataFrame) -> DataFrame:
+    """side, n_units, median_tokens, max_tokens. sides: side, tokens."""
+    n = F.size("tokens")
+    return sides.groupBy("side").agg(F.count("*").alias("n_units"), F.percentile(n, 0.5).alias("median_tokens"), F.max(n).cast("long").alias("max_tokens"))
+
+
 def similarity_stats(best: DataFrame) -> DataFrame:
     """least, q1, median, mean, q3 and most of best-match similarities."""
     s = "similarity"

@@ -72,6 +72,12 @@ def metrics(df: DataFrame, **measures: Column) -> DataFrame:
     return row.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in measures))))
 
 
+def named_counts(df: DataFrame, column: str) -> DataFrame:
+    """One row: `counts`, a map from the column's values to their numbers of rows. For columns of few values, such as types."""
+    counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("k")).agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("counts"))
+
+
 def distinct(column: str) -> Column:
     return F.count_distinct(F.col(column)) + F.max(F.col(column).isNull().cast("int"))
 

@@ -11,7 +11,7 @@ from ..functions import fragments, nodes, text
 from ..graph import TripleGraph
 from ..operators import analyses, bindings, similarity, verify
 from ..sources import ntriples, tables
-from . import testbed
+from . import ingest, testbed
 from .testbed import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,6 +245,96 @@ _add("event_properties", lambda s, d: table(s, d, "events").select("event_id", F
 _add("running_ids", lambda s, d: table(s, d, "supplier").select("s_suppkey", F.format_string("n%s-E%02d", F.col("s_nationkey"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).alias("id")), "SELECT s_suppkey, printf('n%d-E%02d', s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS id FROM supplier")
 
 
+# Node constructors, summaries and units against each other
+_CORE = "core:framework/"
+_add(
+    "framework_nodes",
+    lambda s, d: nodes.framework_nodes(table(s, d, "region").selectExpr("concat('r', r_regionkey) AS framework_id", "r_name AS name", "CASE WHEN r_regionkey = 1 THEN 'US' END AS jurisdiction"), "nice").select("id", F.array_join("types", " ").alias("types"), "name", "jurisdiction", "part_of"),
+    f"SELECT '{_CORE}r' || r_regionkey AS id, 'nice:Framework core:Framework' AS types, r_name AS name, CASE WHEN r_regionkey = 1 THEN 'US' END AS jurisdiction, NULL::VARCHAR AS part_of FROM region",
+)
+
+
+def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("nice:c"), "c_custkey"))).alias("has_element"))
+    nation = table(spark, sf_dir, "nation").join(held, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return nation.selectExpr("concat('n', n_nationkey) AS unit_id", "n_name AS name", "concat('r', n_regionkey) AS framework_id", "has_element")
+
+
+def _unit_nodes(made: DataFrame) -> DataFrame:
+    return made.select("id", F.array_join("types", " ").alias("types"), "name", "part_of", F.size("has_element").cast("long").alias("n_elements"), F.md5(F.array_join("has_element", " ").cast("binary")).alias("elements_md5"))
+
+
+_UNIT_SQL = """SELECT 'nice:n' || n_nationkey AS id, '{types}' AS types, n_name AS name, 'core:framework/r' || n_regionkey AS part_of, e.n AS n_elements, e.h AS elements_md5 FROM nation
+LEFT JOIN (SELECT c_nationkey, count(*) AS n, md5(string_agg('nice:c' || c_custkey, ' ' ORDER BY 'nice:c' || c_custkey)) AS h FROM customer GROUP BY 1) e ON e.c_nationkey = n_nationkey"""
+_add("unit_nodes", lambda s, d: _unit_nodes(nodes.unit_nodes(_unit_rows(s, d), "nice", "Area")), _UNIT_SQL.format(types="nice:Area core:OrganizingUnit"))
+_add("role_nodes", lambda s, d: _unit_nodes(nodes.role_nodes(_unit_rows(s, d), "nice")), _UNIT_SQL.format(types="nice:WorkRole core:Role core:OrganizingUnit"))
+
+
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("concat('nice:o', l_orderkey) AS parent_id", "l_linenumber AS ordinal", "l_returnflag AS text").distinct()
+
+
+_CHILD_SQL = "SELECT DISTINCT 'nice:o' || l_orderkey || '.{kind}.' || l_linenumber AS id, '{types}' AS types, l_returnflag AS element_text, 'core:framework/nice-v2' AS part_of, {elaborates} AS elaborates FROM lineitem"
+_add("subpoint_nodes", lambda s, d: nodes.subpoint_nodes(_children(s, d), "nice", "nice-v2", "Step").select("id", F.array_join("types", " ").alias("types"), "element_text", "part_of", "elaborates"), _CHILD_SQL.format(kind="sub", types="nice:Step core:Subpoint core:RoleElement", elaborates="'nice:o' || l_orderkey"))
+_add("example_nodes", lambda s, d: nodes.example_nodes(_children(s, d), "nice-v2").select("id", F.array_join("types", " ").alias("types"), "element_text", "part_of", "elaborates"), _CHILD_SQL.format(kind="example", types="core:Example core:RoleElement", elaborates="NULL::VARCHAR"))
+_add("density_spread", lambda s, d: analyses.density_spread(_summary(s, d)), f"WITH {testbed.CTES}{_SUMMARY} SELECT * EXCLUDE (license) FROM summary ORDER BY elements_per_organizing_unit_with_examples DESC, framework_slug")
+_add("summary_faults", lambda s, d: analyses.summary_faults(_summary(s, d).withColumn("example_count", F.col("example_count") + (F.col("framework_slug") == "r1").cast("long"))), f"WITH {testbed.CTES}{_SUMMARY} SELECT * REPLACE (example_count + 1 AS example_count) FROM summary WHERE framework_slug = 'r1'")
+_on_graph(
+    "align_units",
+    lambda g: similarity.align_units(g, "^AMERICA$", "^(ASIA|EUROPE)$").withColumn("rank", F.col("rank").cast("long")),
+    f""", words AS (SELECT unit, any_value(unit_name) AS unit_name, any_value(framework_name) AS framework_name, string_agg(txt, ' ') AS doc FROM (SELECT unit, unit_name, framework_name, unit_name AS txt FROM unit
+UNION ALL SELECT unit, unit_name, framework_name, x.o FROM unit JOIN he ON he.role = unit JOIN t x ON x.s = he.element AND x.p = 'elementText') GROUP BY unit),
+toks AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(doc), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}))) AS ts FROM words),
+pr AS (SELECT a.unit AS left_id, a.unit_name AS left_name, b.unit AS right_id, b.unit_name AS right_name, len(list_intersect(a.ts, b.ts)) / (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))) AS sim FROM toks a, toks b
+ WHERE a.framework_name = 'AMERICA' AND b.framework_name IN ('ASIA', 'EUROPE'))
+SELECT left_id, left_name, row_number() OVER (PARTITION BY left_id ORDER BY sim DESC, right_id) AS rank, right_id, right_name, round_even(sim, 3) AS similarity FROM pr QUALIFY rank <= 3""",
+)
+
+
+def _names(spark: SparkSession, sf_dir: str, name: str, key: str, column: str, side: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.col(key).alias(f"{side}_id"), text.tokens(F.col(column)).alias(f"{side}_tokens"))
+
+
+_add(
+    "all_pairs",
+    lambda s, d: similarity.all_pairs(_names(s, d, "region", "r_regionkey", "r_name", "left"), _names(s, d, "nation", "n_nationkey", "n_name", "right")),
+    f"""WITH l AS (SELECT r_regionkey AS left_id, list_distinct(list_filter(regexp_split_to_array(lower(r_name), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS a FROM region),
+r AS (SELECT n_nationkey AS right_id, list_distinct(list_filter(regexp_split_to_array(lower(n_name), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS b FROM nation)
+SELECT left_id, right_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(a || b)) ELSE 0.0 END AS similarity FROM l, r""",
+)
+_add("token_stats", lambda s, d: similarity.token_stats(table(s, d, "documents").select(F.col("source").alias("side"), text.tokens(F.col("text")).alias("tokens"))), _TOKENS.split(",\ndt AS")[0] + " SELECT source AS side, count(*) AS n_units, median(len(lt)) AS median_tokens, max(len(lt)) AS max_tokens FROM d JOIN documents ON doc_id = left_id GROUP BY 1")
+_PARENT = "array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 1, 30), ' ')"
+
+
+def _two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' first words as parents' own texts, whole documents as those with their children's."""
+    docs = table(spark, sf_dir, "documents")
+    right = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("right_id"), text.tokens(F.col("text")).alias("right_tokens"))
+    own = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 30), " ")
+    passes = [similarity.best_matches(docs.select(F.col("doc_id").alias("left_id"), text.tokens(c).alias("left_tokens")), right, 1).drop("rank") for c in (own, F.col("text"))]
+    return similarity.two_pass_alignment(*passes)
+
+
+_TWO = f"""WITH b AS (SELECT 'b' || item_id AS right_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS rt FROM benchmark),
+d AS (SELECT doc_id AS left_id, unnest(['parent', 'full']) AS pass, unnest([{_PARENT}, coalesce(text, '')]) AS t FROM documents),
+e AS (SELECT left_id, pass, list_distinct(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS lt FROM d),
+dt AS (SELECT left_id, pass, len(lt) AS na, unnest(lt) AS token FROM e), bt AS (SELECT right_id, len(rt) AS nb, unnest(rt) AS token FROM b),
+pr AS (SELECT left_id, pass, right_id, count(*) / (any_value(na) + any_value(nb) - count(*)) AS sim FROM dt JOIN bt USING (token) GROUP BY ALL),
+best AS (SELECT left_id, pass, right_id, round_even(sim, 3) AS similarity FROM pr QUALIFY row_number() OVER (PARTITION BY left_id, pass ORDER BY sim DESC, right_id) = 1),
+two AS (SELECT coalesce(p.left_id, f.left_id) AS left_id, p.right_id AS parent_match, coalesce(p.similarity, 0) AS parent_similarity, f.right_id AS full_match, coalesce(f.similarity, 0) AS full_similarity
+ FROM (SELECT * FROM best WHERE pass = 'parent') p FULL JOIN (SELECT * FROM best WHERE pass = 'full') f ON p.left_id = f.left_id),
+tiered AS (SELECT *, round_even(full_similarity - parent_similarity, 3) AS delta, {_TIER.replace("similarity", "parent_similarity")} AS parent_tier, {_TIER.replace("similarity", "full_similarity")} AS full_tier FROM two)"""
+_add("two_pass_alignment", _two_passes, f"{_TWO} SELECT * FROM tiered")
+_add("tier_counts", lambda s, d: similarity.tier_counts(_two_passes(s, d)), f"{_TWO} SELECT tier, (SELECT count(*) FROM tiered WHERE parent_tier = tier) AS n_parent, (SELECT count(*) FROM tiered WHERE full_tier = tier) AS n_full FROM (SELECT unnest(['strong', 'moderate', 'weak', 'none']) AS tier)")
+
+# Checks and counts
+_add("severity_counts", lambda s, d: verify.severity_counts(_references(s, d)), f"SELECT severity, count(*) AS n FROM ({_SQL['referential_integrity']}) GROUP BY 1")
+_add("distinct_metrics", lambda s, d: verify.metrics(table(s, d, "orders").withColumn("k", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))), rows=F.count("*"), kinds=verify.distinct("k"), customers=verify.distinct("o_custkey")), """SELECT unnest(['rows', 'kinds', 'customers']) AS metric, unnest([n, k, c]) AS value FROM (
+SELECT count(*)::DOUBLE AS n, (count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END) + max((o_orderstatus = 'P')::INT))::DOUBLE AS k, count(DISTINCT o_custkey)::DOUBLE AS c FROM orders)""")
+_add("named_counts", lambda s, d: verify.named_counts(table(s, d, "orders"), "o_orderstatus").select(F.to_json("counts").alias("counts")), "SELECT '{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}' AS counts FROM (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1)")
+_add("kebab_names", lambda s, d: ingest.kebab_names(table(s, d, "part").selectExpr("p_partkey", "replace(initcap(p_name), ' ', '') AS name"), "name"), """SELECT p_partkey, lower(regexp_replace(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ''), '([a-z])([A-Z])', '\\1-\\2', 'g')) AS name FROM part""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

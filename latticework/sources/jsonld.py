@@ -7,13 +7,13 @@ import warnings
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FrameworkNotFound, MissingFrameworkWarning
-from ..functions.nodes import LINKS, LITERALS, to_triples
+from ..functions.nodes import LINKS, LITERALS
 from ..graph import TripleGraph
-from ..namespaces import PREFIXES, context
+from ..namespaces import PREFIXES, RDF_TYPE, context, expand
 from ..schemas import NODE
 from .files import exists, read_text, require, write_text
 
@@ -57,9 +57,56 @@ def nodes_of(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]
     return nodes.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in _MANY}), known or context()
 
 
+#: The datatypes that numbers and truth values have as literals.
+_NATIVE = {"BIGINT": "integer", "DECIMAL": "double", "DOUBLE": "double", "BOOLEAN": "boolean"}
+_XSD = "http://www.w3.org/2001/XMLSchema#"
+
+
+def triples_of(spark: SparkSession, path: str) -> DataFrame:
+    """The triples of documents, each read by its own context.
+
+    Any predicate is read, of one value or several: strings, numbers and truth values, {"@id": ...}, and {"@value": ...} with
+    @language or @type. Links may be plain strings. Terms and prefixes that the context lacks are those of this library;
+    keys that neither knows are left out, as the format has it, and so is what a node embeds beyond its @id."""
+    doc = spark.read.option("multiLine", True).schema("`@context` map<string,string>, `@graph` array<variant>").json(require(spark, path))
+    node = doc.select(F.col("`@context`").alias("known"), F.explode("`@graph`").alias("node")).withColumn("id", F.try_variant_get("node", "$['@id']", "string"))
+    ours = F.create_map(*(F.lit(x) for pair in PREFIXES.items() for x in pair))
+
+    def known(name: Column) -> Column:
+        told = F.element_at("known", name)
+        return F.coalesce(F.get_json_object(told, "$['@id']"), told, F.element_at(ours, name))
+
+    def iri(name: Column) -> Column:
+        prefix = F.substring_index(name, ":", 1)
+        base, rest = known(prefix), F.substr(name, F.length(prefix) + 2)
+        own = F.when(F.startswith(name, F.lit("_:")), F.concat(F.lit("_:"), F.hex(F.xxhash64(F.lit(path))), F.lit("."), rest))
+        return F.coalesce(own, F.when(F.contains(name, F.lit(":")), F.when(base.isNotNull() & ~F.startswith(rest, F.lit("//")), F.concat(base, rest)).otherwise(name)).otherwise(known(name)))
+
+    every = node.lateralJoin(spark.tvf.variant_explode(F.col("node").outer())).where("key <> '@id'")
+    many = F.when(F.startswith(F.schema_of_variant("value"), F.lit("ARRAY")), F.col("value").cast("array<variant>")).otherwise(F.array("value"))
+    one = every.select("known", "id", "key", F.explode(many).alias("v")).withColumn("kind", F.schema_of_variant("v"))
+
+    def inner(name: str) -> Column:
+        return F.try_variant_get("v", f"$['{name}']", "string")
+
+    one = one.select("known", "id", "key", "kind", F.try_variant_get("v", "$", "string").alias("plain"), inner("@id").alias("ref"), inner("@value").alias("value"), inner("@type").alias("type"), inner("@language").alias("lang"))
+    one = one.withColumn("p", F.when(F.col("key") == "@type", F.lit(RDF_TYPE)).otherwise(iri(F.col("key"))))
+    links = [RDF_TYPE, *map(expand, LINKS.values())]
+    is_object = F.startswith("kind", F.lit("OBJECT"))
+    target = F.when(is_object, F.col("ref")).when(F.col("p").isin(links), F.col("plain"))
+    native = F.element_at(F.create_map(*(F.lit(x) for k, v in _NATIVE.items() for x in (k, _XSD + v))), F.regexp_extract("kind", "^[A-Z]+", 0))
+    literal = F.when(is_object, F.col("value")).otherwise(F.col("plain"))
+    made = one.select(
+        iri(F.col("id")).alias("s"), "p", F.when(target.isNotNull(), iri(target)).otherwise(literal).alias("o"), target.isNotNull().alias("is_link"),
+        F.when(is_object, iri(F.col("type"))).otherwise(native).alias("o_datatype"), "lang",
+    )
+    kind = F.when(~F.col("is_link"), "literal").when(F.startswith("o", F.lit("_:")), "bnode").otherwise("iri")
+    tag = {"o_datatype": F.when(~F.col("is_link"), F.col("o_datatype")), "o_lang": F.when(~F.col("is_link"), F.col("lang"))}
+    return made.select("s", "p", "o", kind.alias("o_kind"), *(c.alias(n) for n, c in tag.items()), F.lit(path).alias("source"))
+
+
 def read(spark: SparkSession, path: str = "data/processed/jsonld/_combined.jsonld") -> TripleGraph:
-    nodes, known = nodes_of(spark, path)
-    return to_triples(nodes, PREFIXES | known, source=path)
+    return TripleGraph.of(triples_of(spark, path))
 
 
 def read_framework(spark: SparkSession, slug: str, folder: str = "data/processed/jsonld") -> TripleGraph:

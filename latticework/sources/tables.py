@@ -89,10 +89,12 @@ def elements_and_relations(spark: SparkSession, path: str) -> tuple[DataFrame, D
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table; `limit` rows at most, as a report is read by people."""
-    rows = df.limit(limit).collect()
+    """A report table of `limit` rows at most, as a report is read by people; it says how many more there are."""
+    rows = df.limit(limit + 1).collect()
+    more = df.count() - limit if len(rows) > limit else 0
+    rows = rows[:limit]
     cells = [[("" if v is None else f"{v:,}" if isinstance(v, int) else str(v)) for v in r] for r in rows]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *cells])
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *cells]) + (f"\n\n{more:,} more rows" if more else "")
 
 
 def ingestion_report(spark: SparkSession, manifests: dict[str, dict[str, Any] | None], counts: dict[str, DataFrame]) -> str:

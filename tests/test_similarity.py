@@ -11,6 +11,8 @@ def test_pairs_agree(spark):
     crossed = S.all_pairs(left, right)
     assert crossed.count() == 9
     assert rows(crossed.where("similarity > 0")) == rows(S.indexed_pairs(left, right))
+    for k, block in ((1, 512), (2, 1), (3, 2)):
+        assert rows(S.best_matches(left, right, k, block)) == rows(S.top_matches(S.indexed_pairs(left, right), k))
     best = S.top_matches(crossed, 1)
     assert {r["left_id"]: r["right_id"] for r in best.collect()} == {"a": "p", "b": "p", "c": "p"}
     assert rows(S.best_match_frequency(best, right)) == [("p", 3), ("q", 0), ("r", 0)]

@@ -36,6 +36,33 @@ def test_ntriples(spark, tmp_path):
         ntriples.read(spark, str(tmp_path / "none.nt"))
 
 
+def test_jsonld_values(spark, tmp_path):
+    """Several values, tagged and typed literals, numbers, free predicates, contexts of their own, unknown terms."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    node = {"@id": "core:a", "@type": "core:X", "schema:name": ["one", "two", "[x]"], "schema:description": {"@value": "deux", "@language": "fr"}, "own:n": 5, "own:b": True, "term": "t", "nowhere": 1}
+    node |= {"own:link": {"@id": "own:z"}, "core:partOf": "core:f", "core:hasElement": [{"@id": "core:c"}, {"@id": "_:b0"}], "own:day": {"@value": "2020-01-01", "@type": "own:Date"}, "own:none": None}
+    (folder / "1.jsonld").write_text(json.dumps({"@context": {"own": "http://own/", "term": {"@id": "http://own/term"}}, "@graph": [node]}))
+    (folder / "2.jsonld").write_text(json.dumps({"@context": {"own": "http://other/"}, "@graph": [{"@id": "own:a", "own:p": "[not an array]"}]}))
+    g = jsonld.read(spark, str(folder))
+    a, xsd = expand("core:a"), "http://www.w3.org/2001/XMLSchema#"
+    got = {(r["s"], r["p"], r["o"] if r["o_kind"] != "bnode" else "_", r["o_kind"], r["o_datatype"], r["o_lang"]) for r in g.triples.collect()}
+    assert got == {
+        (a, expand("a"), expand("core:X"), "iri", None, None), *((a, expand("schema:name"), x, "literal", None, None) for x in ("one", "two", "[x]")),
+        (a, expand("schema:description"), "deux", "literal", None, "fr"), (a, "http://own/n", "5", "literal", xsd + "integer", None), (a, "http://own/b", "true", "literal", xsd + "boolean", None),
+        (a, "http://own/term", "t", "literal", None, None), (a, "http://own/link", "http://own/z", "iri", None, None), (a, expand("core:partOf"), expand("core:f"), "iri", None, None),
+        (a, expand("core:hasElement"), expand("core:c"), "iri", None, None), (a, expand("core:hasElement"), "_", "bnode", None, None),
+        (a, "http://own/day", "2020-01-01", "literal", "http://own/Date", None), ("http://other/a", "http://other/p", "[not an array]", "literal", None, None),
+    }
+    lines = ntriples.lines_of(g)
+    assert rows(ntriples.parse(lines)[0].where("o_kind <> 'bnode'").drop("source")) == rows(g.triples.where("o_kind <> 'bnode'").drop("source"))
+
+
+def test_report_says_what_it_leaves_out(spark):
+    told = tables.markdown_table(spark.range(12), limit=5)
+    assert told.count("\n|") == 6 and told.endswith("7 more rows") and "more" not in tables.markdown_table(spark.range(3), limit=5)
+
+
 def test_round_trip_through_jsonld(spark, tmp_path):
     fw = nodes.framework_nodes(spark.createDataFrame([("nice-v2", "NICE", "US", "civilian", "specific", "2", "P", None)], "framework_id string, name string, jurisdiction string, sector string, specificity string, version string, publisher string, license string"), "nice")
     raw = spark.createDataFrame([("P1", "aaa; bbb; ccc", "nice-v2")], "element_id string, element_text string, framework_id string")
