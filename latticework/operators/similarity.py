@@ -14,6 +14,10 @@ from ..graph import TripleGraph
 from .bindings import unit_bindings
 
 
+#: Units of the right side, some hundred token hashes each, that are broadcast at most.
+BROADCAST_UNITS = 50_000
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all tokens; 0 if either has none."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
@@ -53,13 +57,17 @@ def best_matches(left: DataFrame, right: DataFrame, k: int = 3, block: int = 512
         return F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))
 
     rights = right.select("right_id", hashed("right_tokens").alias("b")).where(F.size("b") > 0)
-    n_blocks = F.lit(-(-rights.count() // block) or 1)
+    n = rights.count()
+    n_blocks = F.lit(-(-n // block) or 1)
     blocks = rights.groupBy(F.pmod(F.xxhash64("right_id"), n_blocks).alias("block")).agg(F.collect_list(F.struct("right_id", "b")).alias("rights"))
-    met = left.select("left_id", hashed("left_tokens").alias("a")).where(F.size("a") > 0).crossJoin(blocks.select("rights"))
+    # by left_id, as the ranking below needs them: hashes move here, so that k rows a block need not move there
+    rows = left.select("left_id", hashed("left_tokens").alias("a")).where(F.size("a") > 0).repartition("left_id")
+    met = rows.crossJoin(F.broadcast(blocks.select("rights")) if n <= BROADCAST_UNITS else blocks.select("rights"))
 
     def scored(r: Column) -> Column:
-        both = F.size(F.array_intersect("a", r["b"]))
-        return F.struct((-(both / (F.size("a") + F.size(r["b"]) - both))).alias("less"), r["right_id"].alias("right_id"))
+        # the overlap is bound by a one-entry array, as each use of an expression in a lambda's body computes it again
+        both = F.array(F.size(F.array_intersect(r["b"], F.col("a"))))
+        return F.struct(F.get(F.transform(both, lambda n: -(n / (F.size("a") + F.size(r["b"]) - n))), F.lit(0)).alias("less"), r["right_id"].alias("right_id"))
 
     best = F.slice(F.sort_array(F.filter(F.transform("rights", scored), lambda x: x["less"] < 0)), 1, k)
     return top_matches(met.select("left_id", F.inline(best)).select("left_id", "right_id", (-F.col("less")).alias("similarity")), k)
