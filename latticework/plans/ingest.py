@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kebab, slugify, snake_names, squish, squished
@@ -63,6 +63,18 @@ def rows_with(sheet: DataFrame, pattern: str) -> DataFrame:
     return sheet.where(F.exists(F.array(*(F.col(f"`{c}`").cast("string") for c in sheet.columns)), lambda x: F.coalesce(x.rlike(pattern), F.lit(False))))
 
 
+#: Columns that number the elements of a master list, as their names are normalised here or elsewhere.
+MASTER_KEYS = ("dcwf_number", "dcwf_num", "dcwf")
+
+
+def master_list(sheet: DataFrame) -> DataFrame:
+    """A master list of tasks and skills, squished, with normalised names; rows without a number are headings and drop out."""
+    key = next((c for c in snake_names(sheet.columns) if c in MASTER_KEYS), None)
+    if key is None:
+        raise ValueError(f"no column of {', '.join(MASTER_KEYS)}")
+    return named_rows(sheet, key)
+
+
 def table_file(name: str) -> str:
     """A staged file's name for a source table's: CamelCase to kebab-case."""
     import re
@@ -77,7 +89,43 @@ def kebab_names(df: DataFrame, column: str) -> DataFrame:
 #: A standard's id: grade band, theme, sub-concept, sequence.
 STANDARD = r"\b((?:K-2|3-5|6-8|9-12))\.([A-Z]+)\.([A-Z]+)(?:\.(\d+))?\b"
 #: What page furniture looks like inside a block.
-FURNITURE = r"(?i)page \d+( of \d+)?|©.*$|\bcc by[- a-z0-9.]*\b|www\.\S+"
+FURNITURE = r"(?i)page \d+( of \d+)?|©.*$|\bcc by[- a-z0-9.]*\b|www\.\S+|Ver\.\s*1\.0"
+#: The themes and sub-concepts of the K-12 standards, by code, as the published document names them.
+SUB_CONCEPTS = {
+    "CS": {
+        "COMM": "Communication and Networking", "HARD": "Hardware", "SOFT": "Software", "APPS": "Applications", "CC": "Cloud Computing", "COMP": "Components",
+        "IOT": "Internet of Things", "LOSS": "Loss", "OS": "Operating Systems", "PROG": "Programming", "PROT": "Protocols",
+    },
+    "DC": {
+        "AUP": "Acceptable Use Policy", "CYBL": "Cyberbullying", "ETH": "Ethics", "FOOT": "Digital Footprint", "IP": "Intellectual Property", "LAW": "Law",
+        "PPI": "Personally Identifiable Information", "THRT": "Threats and Scams",
+    },
+    "SEC": {
+        "ACC": "Access Control", "AUTH": "Authentication", "CIA": "Confidentiality, Integrity, Availability", "COMP": "Compromise", "CRYP": "Cryptography",
+        "CTRL": "Controls", "DATA": "Data", "INFO": "Information Security", "NET": "Network Security", "PHYS": "Physical Security",
+    },
+}
+#: Where a statement ends although its block goes on: the head of the next sub-concept, that of the next
+#: grade band, the glossary, a page number.
+CUTS = [
+    r"\s+(?:" + "|".join(code for codes in SUB_CONCEPTS.values() for code in codes) + r")\s*\)[^.]*$",
+    r"(?i)\s*(?:Kindergarten|\d+(?:st|nd|rd|th))[\s–—-]*(?:Grade)?[\s–—-]*\d*(?:st|nd|rd|th)?\s*Grade.*$",
+    r"(?i)\s*Glossary\s+of\s+Terms.*$",
+    r"\s+\d{1,3}\s*$",
+]
+
+
+def sub_concepts(spark: SparkSession) -> DataFrame:
+    """theme, sub_concept, sub_concept_name: the catalog that names groups of standards."""
+    return spark.createDataFrame([(t, c, n) for t, codes in SUB_CONCEPTS.items() for c, n in codes.items()], "theme string, sub_concept string, sub_concept_name string")
+
+
+def statement(block: Column) -> Column:
+    """A standard's statement from its block of lines: without the id, furniture and bullets, up to the first cut."""
+    out = squish(F.regexp_replace(F.regexp_replace(F.regexp_replace(block, "^.*?" + STANDARD, ""), FURNITURE, " "), "[•‣◦*]", " "))
+    for pattern in CUTS:
+        out = F.regexp_replace(out, pattern, "")
+    return squish(out)
 
 
 def standards(lines: DataFrame, key: str = "file", longest_joined: int = 60, joined: int = 3) -> DataFrame:
@@ -94,7 +142,7 @@ def standards(lines: DataFrame, key: str = "file", longest_joined: int = 60, joi
     first = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("line", "text"))), 1, joined), lambda x: x["text"]), " ")
     body = owned.groupBy(key, "head").agg(text.alias("raw"), first.alias("begin")).where(F.length("begin") > longest_joined)
     ids = body.select("*", *(F.regexp_extract("raw", STANDARD, k).alias(n) for k, n in enumerate(("standard_id", "grade_band", "theme", "sub_concept", "seq"))))
-    clean = squish(F.regexp_replace(F.regexp_replace("raw", "^.*?" + STANDARD, ""), FURNITURE, " "))
+    clean = statement(F.col("raw"))
     found = ids.select("standard_id", "grade_band", "theme", "sub_concept", F.col("seq").try_cast("int").alias("sequence"), clean.alias("statement_text"), F.col("head").alias("source_line"), key)
     best = Window.partitionBy("standard_id").orderBy(F.desc(F.length("statement_text")), key, "source_line")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", key)
@@ -128,8 +176,9 @@ def section_bullets(lines: DataFrame, areas: DataFrame, key: str = "file", after
 def described_headings(lines: DataFrame, headings: DataFrame, key: str = "file", after: int = 400, within: int = 30, longer: int = 30) -> DataFrame:
     """heading_id, description: the first line of more than `longer` characters within `within` lines of a heading after line `after`.
 
-    headings: heading_id, heading. Lines meet headings by the text after the number, then by a join on the file."""
-    found = lines.where(F.col("line") > after).join(headings, F.startswith(F.ltrim("text"), F.concat(F.col("heading_id"), F.lit(" "))) & F.contains(F.lower("text"), F.lower("heading")))
+    headings: heading_id (a number without spaces), heading. Lines meet headings on the number that they begin with, and must hold the heading."""
+    numbered = lines.where(F.col("line") > after).withColumn("heading_id", F.regexp_extract(F.ltrim("text"), r"^(\S+) ", 1))
+    found = numbered.join(headings, "heading_id").where(F.contains(F.lower("text"), F.lower("heading")))
     at = found.groupBy("heading_id", key).agg(F.min("line").alias("at"))
     near = lines.join(at, key).where(F.col("line").between(F.col("at") + 1, F.col("at") + within) & (F.length(F.trim("text")) > longer))
     return near.groupBy("heading_id").agg(F.min_by(F.trim("text"), "line").alias("description"))

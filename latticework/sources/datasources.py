@@ -103,7 +103,8 @@ def header_row(path: str, sheet: str | None, pattern: str) -> int:
 
 
 class XlsxSource(DataSource):
-    """Options: path, sheet (the first by default), header (a pattern that a cell of the header row matches; the first row by default)."""
+    """Options: path, sheet (the first by default), header (a pattern that a cell of the header row matches; the first row by default;
+    "none" if there is no such row: columns are then x1, x2, ... and all rows are data)."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,12 +112,17 @@ class XlsxSource(DataSource):
 
     def _start(self) -> int:
         pattern = self.options.get("header")
+        if pattern == "none":
+            return -1
         return header_row(self.options["path"], self.options.get("sheet"), pattern) if pattern else 0
 
     def schema(self) -> str:
         from ..functions.text import snake_names
 
         start = self._start()
+        if start < 0:
+            width = max((len(r) for r in sheet_rows(self.options["path"], self.options.get("sheet"))), default=0)
+            return ", ".join(f"x{k} string" for k in range(1, max(width, 1) + 1))
         head = next((r for k, r in enumerate(sheet_rows(self.options["path"], self.options.get("sheet"))) if k == start), [])
         return ", ".join(f"`{n}` string" for n in snake_names([h or "" for h in head])) or "x string"
 
@@ -139,6 +145,36 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
 
 
+#: The tables of the skills database.
+SKILL_TABLES = [
+    "Skill", "SkillLevel", "Level", "Attribute", "AttributeType", "AttributeLevel", "RelatedSkill", "SkillsProfile", "SkillsProfileFamily",
+    "SkillsProfileJobTitle", "SkillsProfileSkill",
+]
+
+
+def skill_tables(spark: SparkSession, path: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """The database's tables by name, all columns as strings; one that is missing is an error."""
+    register(spark)
+    return {t: spark.read.format("sqlite_table").options(path=path, table=t).load() for t in tables or SKILL_TABLES}
+
+
+def role_rows(spark: SparkSession, path: str, pattern: str = r"\(([A-Z]{2}-\d{3})\)") -> DataFrame:
+    """role_code, role_sheet and all rows, as they are, of every sheet whose name has a role's code; ragged sheets have nulls."""
+    register(spark)
+    from pyspark.sql import functions as F
+
+    found = None
+    for sheet in sheet_names(path):
+        m = re.search(pattern, sheet)
+        if m:
+            df = spark.read.format("xlsx_sheet").options(path=path, sheet=sheet, header="none").load()
+            df = df.select(F.lit(m[1]).alias("role_code"), F.lit(sheet).alias("role_sheet"), "*")
+            found = df if found is None else found.unionByName(df, allowMissingColumns=True)
+    if found is None:
+        raise ValueError(f"no sheet of {path} matches {pattern!r}")
+    return found
+
+
 def sheets_union(spark: SparkSession, path: str, pattern: str, header: str, name: str = "sheet_code") -> DataFrame:
     """All sheets whose name matches, with ragged columns, and the pattern's first group in a column."""
     register(spark)

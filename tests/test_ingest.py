@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -72,3 +73,31 @@ def test_adapters(spark):
     assert ingest.named_rows(sheet, "identifier").count() == 1 and ingest.rows_with(sheet, "^a$").count() == 1
     assert ingest.levels_and_clusters(sheet.withColumn("concept", F.lit("A b")))[1].first()["cluster_id"] == "L1-A-b"
     assert ingest.table_file("SkillLevel") == "skill-level"
+
+
+def test_statements_end_where_the_next_section_begins(spark):
+    blocks = [
+        ("• K-2.SEC.ACC.1 Explain why • passwords matter.  Ver. 1.0", "Explain why passwords matter."),
+        ("6-8.CS.PROG Write a script. Programming and Scripting ( PROG ) Students learn", "Write a script. Programming and Scripting ("),
+        ("3-5.DC.LAW.2 Name a law that protects data. 6th – 8th Grade Students", "Name a law that protects data."),
+        ("9-12.DC.ETH Weigh harms. Glossary of Terms access: to enter", "Weigh harms."),
+        ("9-12.DC.ETH.3 Weigh benefits 41 ", "Weigh benefits"),
+    ]
+    got = spark.createDataFrame(blocks, "raw string, want string").select(ingest.statement(F.col("raw")).alias("got"), "want").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    catalog = ingest.sub_concepts(spark)
+    assert catalog.count() == 29 and catalog.where("theme = 'SEC' AND sub_concept = 'CIA'").first()[2] == "Confidentiality, Integrity, Availability"
+
+
+def test_master_list(spark):
+    sheet = spark.createDataFrame([("12", " do  this "), (None, "Tasks"), (" ", "x")], "`DCWF #` string, `Task / KSA` string").withColumnRenamed("DCWF #", "DCWF Number")
+    assert rows(ingest.master_list(sheet)) == [("12", "do this")]
+    with pytest.raises(ValueError):
+        ingest.master_list(sheet.withColumnRenamed("DCWF Number", "other"))
+
+
+def test_the_first_row_of_a_key_stays(spark):
+    from latticework.plans.adapters import _first
+
+    df = spark.createDataFrame([("a", k, f"t{k}") for k in range(50)] + [("b", 0, "u"), (None, 1, "v")], "k string, n int, t string").coalesce(1)
+    assert rows(_first(df, "k")) == [("a", 0, "t0"), ("b", 0, "u")]

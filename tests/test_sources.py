@@ -138,6 +138,12 @@ def test_sqlite_and_xlsx(spark, tmp_path):
     assert df.columns == ["dcwf", "x", "text"] and rows(df) == [("411", None, "do")]
     both = datasources.sheets_union(spark, book, r"^\(([A-Z]{2}-\d{3})\)", "DCWF")
     assert rows(both.select("sheet_code", "dcwf", "text", "extra")) == [("AB-123", "411", "do", None), ("CD-456", "5", None, "e")]
+    raw = datasources.role_rows(spark, book)
+    assert raw.columns == ["role_code", "role_sheet", "x1", "x2", "x3"] and raw.count() == 5
+    assert rows(raw.where("role_code = 'CD-456'")) == [("CD-456", "(CD-456) Two", "5", "e", None), ("CD-456", "(CD-456) Two", "DCWF #", "Extra", None)]
+    assert rows(datasources.skill_tables(spark, db, ["SkillLevel"])["SkillLevel"]) == [("A", "1"), ("B", None)]
+    with pytest.raises(Exception, match="no table"):
+        datasources.skill_tables(spark, db)
 
 
 def test_lines(spark, tmp_path):
