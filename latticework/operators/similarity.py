@@ -6,12 +6,14 @@ meets units on shared tokens instead, so pairs without one are never made; it gi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..graph import TripleGraph
-from .bindings import unit_bindings
+from .bindings import role_element_bindings, unit_bindings
 
 
 #: Units of the right side, some hundred token hashes each, that are broadcast at most.
@@ -141,3 +143,40 @@ def align_units(g: TripleGraph, left: str, right: str, stop_words: list[str] | N
     best = top_matches(all_pairs(a, b), k).withColumn("similarity", F.bround("similarity", 3))
     named = best.join(a.select("left_id", "left_name"), "left_id").join(b.select("right_id", "right_name"), "right_id")
     return named.select("left_id", "left_name", "rank", "right_id", "right_name", "similarity")
+
+
+def parent_documents(g: TripleGraph, kind: str, units: str) -> DataFrame:
+    """element, unit, unit_name, text, full_text: nodes of a type that a unit holds whose framework's name matches `units`.
+
+    text is the node's own, full_text that with the texts of its Subpoints and Examples after it. A node without a text or
+    a unit drops out; of several units or texts the least stays."""
+    parents = g.subjects("a", kind).select(F.col("s").alias("element"))
+    texts = g.pairs("core:elementText").select(F.col("s").alias("element"), F.col("o").alias("text"))
+    links = reduce(DataFrame.unionByName, [g.pairs(f"core:{p}").select(F.col("s").alias("parent"), F.col("o").alias("element")) for p in ("hasElement", "hasExample")])
+    held = links.join(parents.select(F.col("element").alias("parent")), "parent", "left_semi").join(texts, "element")
+    children = held.groupBy(F.col("parent").alias("element")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("_children"))
+    named = unit_bindings(g).where(F.col("framework_name").rlike(units)).select("unit", "unit_name")
+    of = role_element_bindings(g).withColumnRenamed("role", "unit").join(named, "unit")
+    first = parents.join(texts, "element").join(of, "element").groupBy("element").agg(F.min(F.struct("unit", "unit_name", "text")).alias("_first"))
+    full = F.concat_ws(" ", "_first.text", F.coalesce("_children", F.lit("")))
+    return first.join(children, "element", "left").select("element", "_first.*", full.alias("full_text"))
+
+
+def align_parents(left: DataFrame, right: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    """Two passes over parent_documents() of both sides, on own and on full texts: for every left element its best right
+    one, that one's unit and text, and the similarity in each pass, with change and tiers. Where nothing is shared the
+    similarity is 0 and the match the least right element; without right elements there is none. Both sides are read several
+    times: cache or write them first if they are dear to make."""
+    def best(column: str) -> DataFrame:
+        a, b = (tokenised(d.select(F.col("element").alias(f"{s}_id"), column), column, stop_words).withColumnRenamed("tokens", f"{s}_tokens") for s, d in (("left", left), ("right", right)))
+        found = a.select("left_id").join(best_matches(a, b, 1).drop("rank"), "left_id", "left").join(least, how="left")
+        return found.select("left_id", F.coalesce("right_id", "_least").alias("right_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+    least = right.agg(F.min("element").alias("_least"))
+    both = two_pass_alignment(best("text"), best("full_text"))
+    told = left.select(F.col("element").alias("left_id"), F.col("unit_name").alias("left_unit"), F.col("text").alias("left_text"))
+    both = told.join(both, "left_id")
+    for name in ("parent", "full"):
+        said = right.select(F.col("element").alias(f"{name}_match"), F.col("unit_name").alias(f"{name}_unit"), F.col("text").alias(f"{name}_text"))
+        both = both.join(said, f"{name}_match", "left")
+    return both.select("left_id", "left_unit", "left_text", *(f"{n}_{c}" for n in ("parent", "full") for c in ("match", "unit", "text", "similarity", "tier")), "delta")

@@ -79,7 +79,7 @@ def named_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct(column: str) -> Column:
-    return F.count_distinct(F.col(column)) + F.max(F.col(column).isNull().cast("int"))
+    return F.count_distinct(F.col(column)) + F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
 
 
 def modal_length(df: DataFrame, text: str) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fragments, nodes, text
-from ..graph import TripleGraph
+from ..graph import PartitionedGraph, TripleGraph
+from ..namespaces import expand
 from ..operators import analyses, bindings, similarity, verify
 from ..sources import ntriples, tables
-from . import ingest, testbed
+from . import ingest, staged, testbed
 from .testbed import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +328,53 @@ tiered AS (SELECT *, round_even(full_similarity - parent_similarity, 3) AS delta
 _add("two_pass_alignment", _two_passes, f"{_TWO} SELECT * FROM tiered")
 _add("tier_counts", lambda s, d: similarity.tier_counts(_two_passes(s, d)), f"{_TWO} SELECT tier, (SELECT count(*) FROM tiered WHERE parent_tier = tier) AS n_parent, (SELECT count(*) FROM tiered WHERE full_tier = tier) AS n_full FROM (SELECT unnest(['strong', 'moderate', 'weak', 'none']) AS tier)")
 
+
+
+def _lines_graph(spark: SparkSession, sf_dir: str) -> PartitionedGraph:
+    """Languages as frameworks, sources as units, documents as standards with their first line as text and the others as children."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("e"), *(F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
+    docs = docs.withColumns({"f": F.concat(F.lit("f"), "lang"), "u": F.concat_ws("/", "lang", "source")})
+    lines = docs.select("e", F.posexplode("ls").alias("k", "l")).withColumn("c", F.concat_ws(".", "e", "k"))
+    kids = lines.where("k > 0")
+
+    def triples(df: DataFrame, s: str, p: str, o: str, literal: bool = False) -> tuple[str, str | None, DataFrame]:
+        value = expand(o) if ":" in o else None
+        return expand(p), value, df.select(F.col(s).alias("s"), F.lit(expand(p)).alias("p"), (F.lit(value) if value else F.col(o)).alias("o"), F.lit("literal" if literal else "iri").alias("o_kind"))
+
+    frameworks, units = docs.select("f", "lang").distinct(), docs.select("u", "f", "source").distinct()
+    return PartitionedGraph([
+        triples(frameworks, "f", "a", "core:Framework"), triples(frameworks, "f", "schema:name", "lang", True), triples(units, "u", "a", "core:OrganizingUnit"), triples(units, "u", "schema:name", "source", True),
+        triples(units, "u", "core:partOf", "f"), triples(docs, "u", "core:hasElement", "e"), triples(docs, "e", "a", "cyberorg:Standard"), triples(lines.where("k = 0"), "e", "core:elementText", "l", True),
+        triples(kids, "e", "core:hasElement", "c"), triples(kids, "c", "core:elementText", "l", True),
+    ])
+
+
+_DOCS = """d AS (SELECT 'd' || doc_id AS element, coalesce(lang, 'none') || '/' || coalesce(source, 'none') AS unit, coalesce(source, 'none') AS unit_name, coalesce(lang, 'none') AS lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+doc AS (SELECT element, unit, unit_name, lang, ls[1] AS text, ls[1] || ' ' || coalesce(array_to_string(list_sort(ls[2:]), ' '), '') AS full_text FROM d)"""
+_add("parent_documents", lambda s, d: similarity.parent_documents(_lines_graph(s, d), "cyberorg:Standard", "."), f"WITH {_DOCS} SELECT element, unit, unit_name, text, full_text FROM doc")
+_add(
+    "align_parents",
+    lambda s, d: similarity.align_parents(*(similarity.parent_documents(_lines_graph(s, d), "cyberorg:Standard", f"^{lang}$").cache() for lang in ("en", "de")), text.STOP_WORDS),
+    f"""WITH {_DOCS},
+tok AS MATERIALIZED (SELECT element, lang, pass, list_distinct(list_filter(regexp_split_to_array(lower(CASE pass WHEN 'parent' THEN text ELSE full_text END), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS ts FROM doc, (SELECT unnest(['parent', 'full']) AS pass) WHERE lang IN ('en', 'de')),
+words AS (SELECT element, lang, pass, len(ts) AS n, unnest(ts) AS w FROM tok),
+pr AS (SELECT a.pass, a.element AS left_id, b.element AS right_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS sim FROM words a JOIN words b ON a.w = b.w AND a.pass = b.pass WHERE a.lang = 'en' AND b.lang = 'de' GROUP BY 1, 2, 3),
+top AS (SELECT pass, left_id, right_id, sim FROM pr QUALIFY row_number() OVER (PARTITION BY pass, left_id ORDER BY sim DESC, right_id) = 1),
+best AS (SELECT t.element AS left_id, t.pass, coalesce(right_id, (SELECT min(element) FROM doc WHERE lang = 'de')) AS right_id, round_even(coalesce(sim, 0), 3) AS similarity FROM tok t LEFT JOIN top ON top.left_id = t.element AND top.pass = t.pass WHERE t.lang = 'en')
+SELECT l.element AS left_id, l.unit_name AS left_unit, l.text AS left_text, p.right_id AS parent_match, pd.unit_name AS parent_unit, pd.text AS parent_text, p.similarity AS parent_similarity, {_TIER.replace("similarity", "p.similarity")} AS parent_tier,
+ f.right_id AS full_match, fd.unit_name AS full_unit, fd.text AS full_text, f.similarity AS full_similarity, {_TIER.replace("similarity", "f.similarity")} AS full_tier, round_even(f.similarity - p.similarity, 3) AS delta
+FROM doc l JOIN best p ON p.left_id = l.element AND p.pass = 'parent' JOIN best f ON f.left_id = l.element AND f.pass = 'full' LEFT JOIN doc pd ON pd.element = p.right_id LEFT JOIN doc fd ON fd.element = f.right_id WHERE l.lang = 'en'""",
+)
+
+
+def _staged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a framework whose tables are some of the driver's; levels aren't staged."""
+    tables = {"standards": table(spark, sf_dir, "part").withColumnRenamed("p_type", "concept"), "clusters": table(spark, sf_dir, "supplier")}
+    return staged.framework_metrics(spark, staged.STAGED["csta"], tables)
+
+
+_add("framework_metrics", _staged_metrics, "SELECT 'standards_count' AS metric, count(*)::DOUBLE AS value FROM part UNION ALL SELECT 'concepts', (count(DISTINCT p_type) + max((p_type IS NULL)::INT))::DOUBLE FROM part UNION ALL SELECT 'clusters_count', count(*)::DOUBLE FROM supplier")
+
 # Checks and counts
 _add("severity_counts", lambda s, d: verify.severity_counts(_references(s, d)), f"SELECT severity, count(*) AS n FROM ({_SQL['referential_integrity']}) GROUP BY 1")
 _add("distinct_metrics", lambda s, d: verify.metrics(table(s, d, "orders").withColumn("k", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))), rows=F.count("*"), kinds=verify.distinct("k"), customers=verify.distinct("o_custkey")), """SELECT unnest(['rows', 'kinds', 'customers']) AS metric, unnest([n, k, c]) AS value FROM (

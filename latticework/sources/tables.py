@@ -97,13 +97,66 @@ def markdown_table(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *cells]) + (f"\n\n{more:,} more rows" if more else "")
 
 
+def _told(manifest: dict[str, Any] | None, *paths: str) -> str | None:
+    """The first of some dotted paths that a manifest has."""
+    for path in paths:
+        value: Any = manifest
+        for key in path.split("."):
+            value = value.get(key) if isinstance(value, dict) else None
+        if value is not None:
+            return str(value)
+    return None
+
+
+def _number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def scales(manifest: dict[str, Any] | None) -> dict[str, str]:
+    """What a manifest's extraction counts, by readable name: numbers, and breakdowns as name=number (what is no number there stands without its name)."""
+    found = {}
+    for name, value in ((manifest or {}).get("extraction") or {}).items():
+        if _number(value):
+            found[name.replace("_", " ")] = f"{value:,}"
+        elif isinstance(value, dict):
+            found[name.replace("_", " ")] = ", ".join(f"{k}={v:,}" if _number(v) else str(v) for k, v in value.items())
+    return found
+
+
+def summary_rows(manifests: dict[str, dict[str, Any] | None]) -> list[tuple[str | None, ...]]:
+    """framework_slug, framework, version, version_date, publisher, scales (numbers only), license of each manifest."""
+    return [
+        (
+            slug, _told(m, "framework"), _told(m, "framework_version"), _told(m, "framework_date", "version_date"), _told(m, "source.publisher", "source.authority"),
+            " · ".join(f"{k}: {v}" for k, v in scales({"extraction": {k: v for k, v in ((m or {}).get("extraction") or {}).items() if _number(v)}}).items()),
+            _told(m, "licensing.source_license", "licensing.sfia_text_license", "licensing.license") or "see provenance",
+        )
+        for slug, m in sorted(manifests.items())
+    ]
+
+
+SUMMARY = "framework_slug string, framework string, version string, version_date string, publisher string, scales string, license string"
+
+
 def ingestion_report(spark: SparkSession, manifests: dict[str, dict[str, Any] | None], counts: dict[str, DataFrame]) -> str:
-    """Sections for each framework and a comparison table, as Markdown."""
-    out = ["# Ingestion summary", ""]
-    compared = spark.createDataFrame([(k, str((m or {}).get("framework_version", "")), str(((m or {}).get("source") or {}).get("publisher", "")), str((m or {}).get("licensing", {}) if not isinstance((m or {}).get("licensing"), dict) else m["licensing"].get("license", ""))) for k, m in sorted(manifests.items())], "framework string, version string, publisher string, license string")
-    out += [markdown_table(compared), ""]
-    for name in sorted(manifests):
-        out += [f"## {name}", "", "no manifest" if manifests[name] is None else f"Source: {(manifests[name].get('source') or {}).get('url', 'not stated')}", ""]
-        if name in counts:
-            out += [markdown_table(counts[name]), ""]
+    """A comparison table and a section for each framework (source, retrieval, scales, licensing, counts), as Markdown."""
+    out = ["# Ingestion summary", "", f"Frameworks staged: {len(manifests)}", "", markdown_table(spark.createDataFrame(summary_rows(manifests), SUMMARY).orderBy("framework_slug")), ""]
+    for slug, m in sorted(manifests.items()):
+        out += [f"## {_told(m, 'framework') or slug} ({slug})", ""] + (["no manifest", ""] if m is None else [])
+        licensing = (m or {}).get("licensing")
+        sections = {
+            "Framework": {"Publisher": _told(m, "source.publisher", "source.authority"), "Version": _told(m, "framework_version"), "Version date": _told(m, "framework_date", "version_date")},
+            "Source": {
+                "Type": _told(m, "source.type"), "Release": _told(m, "source.release_tag"), "File": _told(m, "source.filename", "source.source_filename", "source.pdf_filename"),
+                "URL": _told(m, "source.download_url", "source.source_url", "source.url"),
+            },
+            "Retrieval": {"Retrieved": _told(m, "retrieval.retrieved_date"), "By": _told(m, "retrieval.retrieved_by"), "SHA256": _told(m, *(f"retrieval.{k}_sha256" for k in ("file", "db", "pdf", "text")))},
+            "Extracted scales": scales(m),
+            "Licensing": {k.replace("_", " "): v for k, v in licensing.items() if isinstance(v, str)} if isinstance(licensing, dict) else {"license": licensing},
+        }
+        for title, entries in sections.items():
+            told = [f"- {k}: {v}" for k, v in entries.items() if v is not None]
+            out += [f"### {title}", "", *told, ""] if told else []
+        if slug in counts:
+            out += ["### Counts", "", markdown_table(counts[slug]), ""]
     return "\n".join(out)

@@ -2,6 +2,7 @@ from conftest import rows
 from graphs import demo
 from pyspark.sql import functions as F
 
+from latticework.graph import TripleGraph
 from latticework.operators import similarity as S
 
 
@@ -27,3 +28,24 @@ def test_units(spark):
     assert docs["u2"] == "u2 text of e3"
     assert S.align_units(d, "A$", "B$", k=3).columns == ["left_id", "left_name", "rank", "right_id", "right_name", "similarity"]
     assert S.align_units(d, "A$", "B$").select(F.max("similarity")).first()[0] == 1.0
+
+
+def test_parents_with_their_children(spark):
+    r = []
+    for f, name in (("L", "Left set"), ("R", "Right set")):
+        r += [(f"core:{f}", "a", "core:Framework", "iri"), (f"core:{f}", "schema:name", name, "literal"), (f"core:u{f}", "a", "core:OrganizingUnit", "iri"), (f"core:u{f}", "core:partOf", f"core:{f}", "iri"), (f"core:u{f}", "schema:name", f"unit {f}", "literal")]
+    said = {"l1": ("L", "alpha beta"), "l2": ("L", "nothing shared"), "r1": ("R", "alpha beta gamma delta"), "r2": ("R", "zeta"), "r3": ("R", "alone"), "l3": ("L", None)}
+    for e, (f, text) in said.items():
+        r += [(f"core:{e}", "a", "csta:Standard" if f == "R" else "cyberorg:Standard", "iri"), (f"core:u{f}", "core:hasElement", f"core:{e}", "iri")]
+        r += [(f"core:{e}", "core:elementText", text, "literal")] if text else []
+    for parent, p, child, text in (("l1", "hasElement", "l1.sub.1", "zeta"), ("l1", "hasExample", "l1.example.1", "alpha"), ("r2", "hasElement", "r2.sub.1", "beta alpha")):
+        r += [(f"core:{parent}", f"core:{p}", f"core:{child}", "iri"), (f"core:{child}", "core:elementText", text, "literal")]
+    g = TripleGraph.from_rows(spark, r)
+    left, right = S.parent_documents(g, "cyberorg:Standard", "^Left"), S.parent_documents(g, "csta:Standard", "^Right")
+    assert {d["text"]: d["full_text"] for d in left.collect()} == {"alpha beta": "alpha beta alpha zeta", "nothing shared": "nothing shared "}
+    assert S.parent_documents(g, "csta:Standard", "^Left").count() == 0
+    got = {d["left_text"]: (d["parent_text"], d["parent_similarity"], d["parent_tier"], d["full_text"], d["full_similarity"], d["full_tier"], d["delta"]) for d in S.align_parents(left, right).collect()}
+    assert got["alpha beta"] == ("alpha beta gamma delta", 0.5, "strong", "zeta", 1.0, "strong", 0.5)
+    assert got["nothing shared"] == ("alpha beta gamma delta", 0.0, "none", "alpha beta gamma delta", 0.0, "none", 0.0) and len(got) == 2
+    none = S.align_parents(left, right.limit(0)).collect()
+    assert [(d["parent_match"], d["full_similarity"]) for d in none] == [(None, 0.0)] * 2
