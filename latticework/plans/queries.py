@@ -330,9 +330,11 @@ _add("tier_counts", lambda s, d: similarity.tier_counts(_two_passes(s, d)), f"{_
 
 
 
-def _lines_graph(spark: SparkSession, sf_dir: str) -> PartitionedGraph:
-    """Languages as frameworks, sources as units, documents as standards with their first line as text and the others as children."""
+def _lines_graph(spark: SparkSession, sf_dir: str, lang: str | None = None) -> PartitionedGraph:
+    """Languages as frameworks, sources as units, documents as standards with their first line as text and the others as children.
+    With a language, the graph of that framework: no unit or document is in two of them."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("e"), *(F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
+    docs = docs if lang is None else docs.where(F.col("lang") == lang)
     docs = docs.withColumns({"f": F.concat(F.lit("f"), "lang"), "u": F.concat_ws("/", "lang", "source")})
     lines = docs.select("e", F.posexplode("ls").alias("k", "l")).withColumn("c", F.concat_ws(".", "e", "k"))
     kids = lines.where("k > 0")
@@ -354,7 +356,7 @@ doc AS (SELECT element, unit, unit_name, lang, ls[1] AS text, ls[1] || ' ' || co
 _add("parent_documents", lambda s, d: similarity.parent_documents(_lines_graph(s, d), "cyberorg:Standard", "."), f"WITH {_DOCS} SELECT element, unit, unit_name, text, full_text FROM doc")
 _add(
     "align_parents",
-    lambda s, d: similarity.align_parents(*(similarity.parent_documents(_lines_graph(s, d), "cyberorg:Standard", f"^{lang}$").cache() for lang in ("en", "de")), text.STOP_WORDS),
+    lambda s, d: similarity.align_parents(*(similarity.parent_documents(_lines_graph(s, d, lang), "cyberorg:Standard", f"^{lang}$").cache() for lang in ("en", "de")), text.STOP_WORDS),
     f"""WITH {_DOCS},
 tok AS MATERIALIZED (SELECT element, lang, pass, list_distinct(list_filter(regexp_split_to_array(lower(CASE pass WHEN 'parent' THEN text ELSE full_text END), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS ts FROM doc, (SELECT unnest(['parent', 'full']) AS pass) WHERE lang IN ('en', 'de')),
 words AS (SELECT element, lang, pass, len(ts) AS n, unnest(ts) AS w FROM tok),

@@ -1,3 +1,6 @@
+import random
+import time
+
 from conftest import rows
 from graphs import demo
 from pyspark.sql import functions as F
@@ -49,3 +52,31 @@ def test_parents_with_their_children(spark):
     assert got["nothing shared"] == ("alpha beta gamma delta", 0.0, "none", "alpha beta gamma delta", 0.0, "none", 0.0) and len(got) == 2
     none = S.align_parents(left, right.limit(0)).collect()
     assert [(d["parent_match"], d["full_similarity"]) for d in none] == [(None, 0.0)] * 2
+
+
+def test_best_matches_by_blocks(spark):
+    """Copies, sets without tokens and ties on both sides, in one block and in many; more tokens than the mask has bits."""
+    rnd = random.Random(5)
+
+    def sets(n, side):
+        return [(f"{side}{'é' * (i % 17 == 0)}{i}", sorted({f"w{int(rnd.paretovariate(0.7)) % 300}" for _ in range(rnd.choice([0, 1, 3, 30, 200]))})) for i in range(n)]
+
+    right = sets(200, "r")
+    left = spark.createDataFrame(sets(250, "l"), "left_id string, left_tokens array<string>").repartition(3)
+    right = spark.createDataFrame(right + [(f"copy{i}", right[7][1]) for i in range(50)], "right_id string, right_tokens array<string>")
+    for k in (1, 3, 400):
+        want = rows(S.top_matches(S.indexed_pairs(left, right), k))
+        for block in (8192, 10):
+            assert rows(S.best_matches(left, right, k, block)) == want
+
+
+def test_best_matches_of_many(spark):
+    """24 million pairs of sets of 150 tokens are a matter of seconds; every left set has one right set of the same tokens."""
+    def side(name, n, turn):
+        words = F.transform(F.sequence(F.lit(0), F.lit(149)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("id") % turn, i), F.lit(20_000)).cast("string")))
+        return spark.range(0, n, 1, 4).select(F.col("id").alias(f"{name}_id"), F.array_distinct(words).alias(f"{name}_tokens"))
+
+    began = time.time()
+    best = S.best_matches(side("left", 6000, 4000), side("right", 4000, 4000), 1).collect()
+    assert time.time() - began < 25
+    assert len(best) == 6000 and all(r["right_id"] == r["left_id"] % 4000 and r["similarity"] == 1.0 for r in best)
